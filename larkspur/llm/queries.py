@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from larkspur.llm import token_files
+from larkspur.llm import mixing, packing, token_files
 
 QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op6_token_files": token_files.op6_token_files,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": mixing.ORACLE,
+}

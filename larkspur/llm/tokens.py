@@ -10,15 +10,18 @@ import numpy as np
 
 #: Where a blank has blanks on both sides (or an end of the text), cutting before it would change the ids.
 UNCLEAN = re.compile(r"(?:\s|\A) (?:\s|\Z)")
-KEPT_PIECES = 300_000
+#: Where each line feed stands alone, it is a piece of its own.
+PAIRED = re.compile(r"\s\n|\n\s|\A\n|\n\Z")
+BLANK = re.compile(r"\s")
+KEPT_PIECES = 800_000
 
 
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of pieces that it has seen.
 
-    The pre-tokenizer of a byte-level BPE file always cuts before a blank that starts a run of blanks, or that is
-    the last of one before other text. A text is cut at these places, and only pieces that are new go to the
-    library; a text with other runs of blanks goes to it whole. Both ways give the library's ids.
+    The pre-tokenizer of a byte-level BPE file always cuts before a space that starts a run of blanks, or that is
+    the last of one before other text, and around a single line feed. A text is cut at these places, and only pieces
+    that are new go to the library; a text with other runs of blanks goes to it whole. Both ways give its ids.
     """
 
     def __init__(self, path: str):
@@ -26,27 +29,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.spaced: dict[str, bytes] = {}  # the ids of a space and the piece
+        self.heads: dict[str, bytes] = {"": b""}
+        self.feed = np.array(self._ids("\n"), "<u4")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, seen: dict[str, bytes], found: set[str], before: str) -> None:
+        """Encodes the pieces that are new, as lines of one text where they hold no blanks."""
+        new = [x for x in found if x not in seen]
+        if len(seen) + len(new) > KEPT_PIECES and len(seen) > len(found):
+            seen.clear()
+            seen[""] = np.array(self._ids(before), "<u4").tobytes() if before else b""
+            new = list(found)
+        odd = [x for x in new if not x or BLANK.search(x)]
+        new = [x for x in new if x and not BLANK.search(x)]
+        for x in odd:
+            seen[x] = np.array(self._ids(before + x), "<u4").tobytes()
+        if new and len(self.feed) == 1:
+            ids = np.array(self._ids("".join(f"\n{before}{x}" for x in new)), "<u4")
+            cuts = np.flatnonzero(ids == self.feed[0])
+            if len(cuts) == len(new):
+                raw, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                seen.update(zip(new, [raw[a + 4 : b] for a, b in zip(at, at[1:])]))
+                return
+        seen.update((x, np.array(self._ids(before + x), "<u4").tobytes()) for x in new)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty."""
-        out: list[bytes] = []
+        cut: list[list[list[str]] | None] = []
         for text in texts:
             text = text or ""
             if UNCLEAN.search(text):
-                out += self._encode([text])
-                continue
-            first, *rest = text.split(" ")
-            if (new := [x for x in set(rest) if x not in self.seen]):
-                if len(self.seen) > KEPT_PIECES:
-                    self.seen.clear()
-                    new = list(set(rest))
-                self.seen.update(zip(new, self._encode([f" {x}" for x in new])))
-            head = self._encode([first])[0] if first else b""
-            out.append(head + b"".join(map(self.seen.__getitem__, rest)))
+                cut.append(None)
+            else:
+                cut.append([x.split(" ") for x in (text.split("\n") if not PAIRED.search(text) else [text])])
+        self._learn(self.spaced, {x for lines in cut if lines for line in lines for x in line[1:]}, " ")
+        self._learn(self.heads, {line[0] for lines in cut if lines for line in lines}, "")
+        spaced, heads, feed = self.spaced.__getitem__, self.heads, self.feed.tobytes()
+        out = []
+        for text, lines in zip(texts, cut):
+            if lines is None:
+                out.append(np.array(self._ids(text), "<u4").tobytes())
+            else:
+                out.append(feed.join([heads[line[0]] + b"".join(map(spaced, line[1:])) for line in lines]))
         return out
 
 
