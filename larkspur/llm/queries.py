@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.llm import mixing, packing, token_files
+from larkspur.llm import mixing, packing, simhash, token_files
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_simhash": simhash.op4_simhash,
     "op6_token_files": token_files.op6_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
