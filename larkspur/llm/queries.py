@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from larkspur.llm import mixing, packing, simhash, token_files
+from larkspur.llm import mixing, packing, quality, secrets, simhash, token_files
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_simhash": simhash.op4_simhash,
     "op6_token_files": token_files.op6_token_files,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
