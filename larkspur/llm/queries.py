@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from larkspur.llm import mixing, packing, quality, secrets, simhash, token_files
+from larkspur.llm import ann, covertree, mixing, packing, quality, secrets, simhash, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_simhash": simhash.op4_simhash,
     "op6_token_files": token_files.op6_token_files,
+    "op7_embedding_near_dedup": covertree.op7_embedding_near_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_nearest_neighbours": ann.op10_nearest_neighbours,
 }
 
 ORACLES: dict[str, str] = {

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
+from larkspur.llm.labels import Labels
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 FAN_OUT = 16
@@ -68,36 +69,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-class _Labels:
-    """The least index that each index is linked to so far."""
-
-    def __init__(self, n: int):
-        self.of = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.of[a], self.of[b]
-        odd = a != b
-        if not odd.any():
-            return
-        pairs = np.unique(np.stack([np.minimum(a[odd], b[odd]), np.maximum(a[odd], b[odd])], 1), axis=0)
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        for x, y in pairs.tolist():
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        old = np.array(sorted(parent))
-        new = np.array([root(x) for x in old.tolist()])
-        table = np.arange(len(self.of))
-        table[old] = new
-        self.of = table[self.of]
-
-
 def linked(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, fan_out: int = FAN_OUT) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that connect exactly what lies within ``distance`` bits in the same group, at most one for each code."""
     order = np.lexsort((gray_rank(codes), groups))
@@ -127,7 +98,7 @@ def linked(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, fan_
     for at, level in enumerate(levels):
         level["last"] = last if at == 0 else levels[at - 1]["last"][level["stop"] - 1]
 
-    labels = _Labels(n)
+    labels = Labels(n)
     cost = np.cumsum(group_size[group_of].astype(np.int64))
     at = 0
     while at < n:
