@@ -19,7 +19,7 @@ from larkspur.llm import common, vectors
 
 K = 10
 QUERY_STEP = 100
-TABLES, PROJECTIONS, PROBES = 8, 10, 100
+TABLES, PROJECTIONS, PROBES = 10, 10, 160
 #: Bucket width in units of the median distance of a sample; wide enough for a recall of 0.9 where vectors have no structure.
 WIDTH = 1.75
 SAMPLE_ROWS = 1000
