@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspur.llm import ann, covertree, mixing, packing, quality, secrets, simhash, substrings, token_files
+from larkspur.llm import ann, covertree, lines, mixing, packing, quality, secrets, simhash, substrings, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_token_files": token_files.op6_token_files,
