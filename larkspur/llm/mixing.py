@@ -78,34 +78,34 @@ def schedule(found: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """Adds to ``docs`` (doc_id, size, mix_key) the rank ``r`` in its source's shuffle and the words ``a`` before it.
+    """Adds to ``docs`` (doc_id, size, mix_key, tag) the rank ``r`` in its source's shuffle and the words ``a`` before it.
 
     The shuffle sorts by the MD5 of doc_id. Its first digits deal a source out in pieces; their sums give each
-    piece its start, so a source with a third of all documents is no single window. Rows that share doc_id and size
-    are interchangeable; each keeps a rank of its own.
+    piece its start, so a source with a third of all documents is no single window. Rows that share doc_id, size and
+    tag are interchangeable; each keeps a rank of its own.
     """
     shuffled = docs.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("deal", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % DEALT)
     totals = shuffled.groupBy("mix_key", "deal").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     before = Window.partitionBy("mix_key").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("mix_key", "deal", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("words_ahead"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("mix_key", "deal").orderBy("h", "doc_id", "size")
+    within = Window.partitionBy("mix_key", "deal").orderBy("h", "doc_id", "size", "tag")
     lined = shuffled.withColumn("r", F.row_number().over(within)).withColumn("a", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return lined.join(starts, ["mix_key", "deal"]).withColumn("r", F.col("r") + F.col("ahead")).withColumn("a", F.col("a") + F.col("words_ahead")).drop("h", "deal", "ahead", "words_ahead")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def source_key(source: Column) -> Column:
     """One key for a source, which sorts by code point with null last."""
-    return docs.withColumn("mix_key", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))))
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
 def draws(docs: DataFrame) -> DataFrame:
-    """The mix of ``docs`` (doc_id, size, source): a row for each stretch of a document that a slot draws.
+    """The mix of ``docs`` (doc_id, size, source, tag): a row for each stretch of a document that a slot draws.
 
-    Columns: mix_key, r, doc_id, size, source_size, target, slot (null where nothing of the document is drawn), epoch,
+    Columns: mix_key, r, doc_id, size, tag, source_size, target, slot (null where nothing of the document is drawn), epoch,
     first, after: the words [first, after) of the document. Blocks of a source hold goal / draws words each, so
     that its draws end at its target; a block may end within a document. A document without words is never drawn.
     """
-    docs = common.keep(_keyed(docs).select("doc_id", "size", "mix_key"), "sizes")  # the texts are read once
+    docs = common.keep(docs.select("doc_id", "size", "tag", source_key(F.col("source")).alias("mix_key")), "sizes")  # the texts are read once
     found = common.keep(sources(docs), "sources")
     slots = common.keep(schedule(found), "schedule")
     n_draws = slots.groupBy("mix_key").agg(F.count("*").alias("draws"))
@@ -119,7 +119,7 @@ def draws(docs: DataFrame) -> DataFrame:
     edge = lambda k: F.expr(f"CAST(ceil(CAST({k} AS DECIMAL(38, 0)) * goal / draws) AS BIGINT)")
     lined = lined.withColumn("k", F.explode_outer(F.when(F.col("at") < F.col("end"), F.sequence(block("at"), block("(end - 1)")))))
     pieces = lined.withColumn("first", F.greatest(F.col("at"), edge("k")) - F.col("at")).withColumn("after", F.least(F.col("end"), edge("(k + 1)")) - F.col("at"))
-    return pieces.join(slots, ["mix_key", "k"], "left").select("mix_key", "r", "doc_id", "size", "source_size", "target", "slot", "epoch", "first", "after")
+    return pieces.join(slots, ["mix_key", "k"], "left").select("mix_key", "r", "doc_id", "size", "tag", "source_size", "target", "slot", "epoch", "first", "after")
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     A null text has size 0; a null source is a source of its own, last. Rows with equal doc_id count as documents
     of their own. Other columns are not used. An empty table gives no rows; where no text has words, targets are 0.
     """
-    sized = docs.select("doc_id", size(F.col("text")).alias("size"), "source")
+    sized = docs.select("doc_id", size(F.col("text")).alias("size"), "source", F.lit(0).alias("tag"))
     return taken(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -49,16 +49,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null and empty texts have 0."""
+    """(doc_id, fp, tag): the fingerprint as a signed long, and a hash of the text. Null and empty texts have 0."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = np.array([fingerprint(x, shingle) for x in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), part.column(2)], ["doc_id", "fp", "tag"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).mapInArrow(score, "doc_id bigint, fp bigint, tag bigint")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -171,7 +171,9 @@ def near_links(codes: DataFrame, distance: int = DISTANCE, group_rows: int = GRO
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text): the least doc_id reachable over links.
+    """(doc_id, fp, tag, component, component_id) for each row of ``docs`` (doc_id, text).
+
+    component_id is the least doc_id reachable over links; component is a fingerprint that names the group.
 
     Texts that are null or hold no words have fingerprint 0 and link like any other. Rows with equal doc_id each come
     back; a null doc_id is never the least unless nothing else is reachable. Other columns are not used. An empty
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     parts = common.components(near_links(codes.select("fp"), distance))
     grouped = codes.join(parts, codes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(grouped.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(grouped.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "tag", "component", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
