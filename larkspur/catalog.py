@@ -17,8 +17,8 @@ TPCH_SCHEMAS = {
     "supplier": "s_suppkey INT, s_name STRING, s_address STRING, s_nationkey INT, s_phone STRING, s_acctbal DECIMAL(15,2), s_comment STRING",
 }
 
-#: Stands in for the table that the test data lack; the price is rounded so that engines agree on it.
-PARTSUPP_SQL = "SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(round(l_extendedprice / l_quantity, 2)) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey"
+#: Stands in for the table that the test data lack.
+PARTSUPP_SQL = "SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey"
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -35,7 +35,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = load(spark, sf_dir, "lineitem")
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    price = F.col("l_extendedprice") / F.col("l_quantity")
     return items.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.min(price).alias("ps_supplycost"))
 
 

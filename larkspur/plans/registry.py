@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import tpch
+from larkspur.plans import relational, tpch
 
-QUERIES = {**tpch.QUERIES}
-ORACLES = {**tpch.ORACLES}
+QUERIES = {**tpch.QUERIES, **relational.QUERIES}
+ORACLES = {**tpch.ORACLES, **relational.ORACLES}
