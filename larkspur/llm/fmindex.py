@@ -26,57 +26,67 @@ class WaveletTree:
 
     def __init__(self, symbols: np.ndarray, depth: int):
         self.levels, self.depth = [], depth
+        most = int(symbols.max()) + 1
         for level in range(depth - 1, -1, -1):
             bits = (symbols >> level & 1).astype(np.uint8)
             self.levels.append(Bits(bits))
             symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
+        self.start = self._down(np.arange(most), np.zeros(most, np.int64))  # of each symbol on the lowest level
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for level, bits in zip(range(self.depth - 1, -1, -1), self.levels):
+            ones = bits.rank(at)
+            at = np.where((symbol >> level & 1).astype(bool), bits.zeros + ones, at - ones)
+        return at
 
     def ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol stands before ``low`` and before ``high``."""
-        start = np.zeros_like(low)
-        for level, bits in zip(range(self.depth - 1, -1, -1), self.levels):
-            one = (symbol >> level & 1).astype(bool)
-            at = bits.rank(np.concatenate([start, low, high])).reshape(3, -1)
-            start, low, high = (np.where(one, bits.zeros + r, x - r) for r, x in zip(at, (start, low, high)))
-        return low - start, high - start
+        low, high = self._down(np.concatenate([symbol, symbol]), np.concatenate([low, high])).reshape(2, -1) - self.start[symbol]
+        return low, high
 
 
 class FMIndex:
-    """Over texts (arrays of word numbers from 1), each ended by 0; ``span`` words are looked for at a time (2 to 64).
+    """Over texts (arrays of word numbers from 1), each ended by 0; ``span`` words (2 or more) are looked for at a time.
 
-    Suffixes are sorted by their first 64 symbols, which is as far as a search of that many words can see.
+    Suffixes are sorted by their first ``span`` symbols, which is as far as such a search can see.
     """
 
     def __init__(self, texts: list[np.ndarray], weights: np.ndarray, span: int):
         self.span = span
         lengths = np.array([len(x) for x in texts])
-        text = np.concatenate([np.r_[x, 0] for x in texts]).astype(np.int64)
+        ends = np.cumsum(lengths + 1) - 1
+        text = np.zeros(int(ends[-1]) + 1, np.int64)
+        text[np.delete(np.arange(len(text)), ends)] = np.concatenate(texts)
         n = len(text)
-        rank, ranks, width = np.unique(text, return_inverse=True)[1].astype(np.int64), {}, 1
-        while True:
-            ranks[width] = rank
-            if width >= 64:
-                break
+
+        def pair(rank: np.ndarray, ahead: np.ndarray, by: int) -> np.ndarray:
             key = rank * (n + 1)
-            key[: n - width] += rank[width:] + 1
-            order = np.argsort(key, kind="stable")
+            key[: n - by] += ahead[by:] + 1
+            return key
+
+        def ranked(key: np.ndarray) -> np.ndarray:
+            order = np.argsort(key)
             ahead = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.r_[0, ahead[1:] != ahead[:-1]])
+            return rank
+
+        ranks, width = {1: text}, 1  # by doubling; then two that overlap
+        while 2 * width <= span:
+            ranks[2 * width] = ranked(pair(ranks[width], ranks[width], width))
             width *= 2
-        suffixes = np.argsort(rank, kind="stable")
+        suffixes = np.argsort(pair(ranks[width], ranks[width], span - width) if span > width else ranks[width])
         # intervals of suffixes that share one word less than the span: what is left of a match without its last word
         shared, same, at = span - 1, np.ones(n - 1, bool), 0
-        for width in (64, 32, 16, 8, 4, 2, 1):
-            if shared & width:
-                part = np.r_[ranks[width], np.full(64, -1)][np.minimum(suffixes + at, n + 63)]
+        for width in sorted(ranks, reverse=True):
+            if shared - at >= width:
+                part = np.r_[ranks[width], np.full(span, -1)][suffixes + at]
                 same &= part[1:] == part[:-1]
                 at += width
         edges = np.flatnonzero(np.r_[True, ~same, True])
         group = np.cumsum(np.r_[0, ~same])
         self.low, self.high = edges[:-1][group], edges[1:][group]
-        self.count = np.bincount(text)
-        self.first = np.r_[0, np.cumsum(self.count)]
+        self.first = np.r_[0, np.cumsum(np.bincount(text))]
         self.tree = WaveletTree(text[suffixes - 1], max(1, int(text.max()).bit_length()))
         owner = np.repeat(np.arange(len(texts)), lengths + 1)
         self.weight = np.r_[0, np.cumsum(weights[owner[suffixes]])]

@@ -22,24 +22,11 @@ from larkspur.llm.fmindex import FMIndex
 WINDOW, GRAM = 35, 8
 SHARD_WORDS = 500_000
 HOT_CONTEXTS = 5_000  # distinct contexts of one anchor that go to one shard; with more, each window is dealt by itself
-KEPT_WORDS = 500_000
 BASE = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
 
 
-class _Hashes(dict):
-    """The hash of each word; words seen are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, 5)
-        return value
-
-
-_hashes = _Hashes()
+IS_WORD = np.ones(256, bool)
+IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -47,7 +34,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """The powers of an odd number modulo 2^64."""
     found = _powers.get(base)
     if found is None or len(found) < n:
-        found = np.full(max(n, 1 << 15), base, np.uint64)
+        found = np.full(max(n, 1 << 20), base, np.uint64)
         found[0] = 1
         found = _powers[base] = np.multiply.accumulate(found)
     return found[:n]
@@ -59,43 +46,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()  # of bytes: exactly the six ASCII blanks
-
-
 class Rolling:
-    """Hashes of any stretch of a text's words."""
+    """Hashes of any stretch of a sequence of numbers."""
 
-    def __init__(self, found: list[bytes]):
-        hashes = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    def __init__(self, values: np.ndarray):
         back = pow(BASE, -1, 1 << 64)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _power(back, len(found)))])
+        self.sums = np.empty(len(values) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum((values + np.uint64(1)) * _power(back, len(values)), out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * _power(BASE, len(self.sums))[start] + (stop - start).astype(np.uint64))
-
-
-def anchors(found: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, context, first, n): for each run of n windows from ``first`` with one anchor, both hashes."""
-    n = len(found) - window + 1
-    if n <= 0:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    rolling = Rolling(found)
-    place = np.arange(len(found) - gram + 1)
-    grams = rolling.of(place, place + gram)
+        back = _power(BASE, len(self.sums))
+        return mix((self.sums[stop] - self.sums[start]) * back[start] + (stop - start).astype(np.uint64))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each word of a string or binary column, in order."""
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if data is None or offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    data, edges = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    inside = IS_WORD[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = edges[(edges > 0) & (edges < len(data))]  # a text's end ends its last word
+    first[cuts] |= inside[cuts]
+    last[cuts - 1] |= inside[cuts - 1]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Rolling(data.astype(np.uint64)).of(start, stop), np.searchsorted(edges, start, "right") - 1
+
+
+def anchors(hashes: np.ndarray, text: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor, context, text, first, n): for each run of n windows with one anchor, both hashes, and which text and
+    which of its words the run starts at."""
+    n = len(hashes) - window + 1
+    whole = np.flatnonzero(text[:n] == text[window - 1 :]) if n > 0 else np.zeros(0, np.int64)  # windows within one text
+    if not len(whole):
+        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    rolling = Rolling(hashes)
+    place = np.arange(len(hashes) - gram + 1)
+    value = rolling.of(place, place + gram)
     # the leftmost least of each window, by doubling
-    width, value = 1, grams
-    wide = window - gram + 1
+    width, wide = 1, window - gram + 1
     while width < wide:
         step = min(width, wide - width)
         right = value[step:] < value[: len(value) - step]
         value, place = np.where(right, value[step:], value[: len(value) - step]), np.where(right, place[step:], place[: len(place) - step])
         width += step
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    size = np.diff(np.r_[first, n])
+    value, place, owner = value[whole], place[whole], text[whole]
+    run = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
+    size, first, place, owner = np.diff(np.r_[run, len(whole)]), whole[run], place[run], owner[run]
     # where in its context an anchor stands tells contexts of equal words apart
-    context = mix(rolling.of(first, first + size + window - 1) + (place[first] - first).astype(np.uint64))
-    return value[first], context, first, size
+    context = mix(rolling.of(first, first + size + window - 1) + (place - first).astype(np.uint64))
+    return value[run], context, owner, first - np.searchsorted(text, owner), size
 
 
 ANCHORS = "anchor bigint, context bigint, k1 bigint, k2 bigint, first int, n int"
@@ -103,18 +109,22 @@ ANCHORS = "anchor bigint, context bigint, k1 bigint, k2 bigint, first int, n int
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            found = [anchors(words(x)) for x in part.column(2).to_pylist()]
-            row = np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found])
-            a, c, first, n = (np.concatenate(x) for x in zip(*found))
-            keys = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), keys.column(0), keys.column(1), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "context", "k1", "k2", "first", "n"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            a, c, row, first, n = anchors(*word_hashes(part.column(2)))
+            k1, k2 = (part.column(k).to_numpy()[row] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "context", "k1", "k2", "first", "n"])
 
 
 CONTEXTS = "shard bigint, anchor bigint, context bigint, offset int, copies bigint, words binary"
 
 
+def _slices(batch: pa.RecordBatch, *columns: int, step: int = 256) -> Iterator[tuple]:
+    """The rows of some columns as Python values, a few at a time."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(batch.column(c).slice(at, step).to_pylist() for c in columns))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts (text, cuts) of documents; those of hot anchors window by window."""
     import zstandard
@@ -122,7 +132,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
         rows: list[tuple] = []
-        for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, cuts in _slices(batch, 0, 1):
             found = expand.decompress(text).split()
             for x in cuts:
                 spans = [(x["first"] + j, 1, j) for j in range(x["n"])] if x["hot"] else [(x["first"], x["n"], 0)]
@@ -142,12 +152,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["shard", "anchor", "context", "offset", "copies", "words"])
 
 
-def repeated(found: list[list[bytes]], copies: np.ndarray, window: int = WINDOW) -> list[int]:
-    """For each text of a shard, a bit for each of its windows: whether it starts more than once in the shard."""
-    number: dict[bytes, int] = {}
-    texts = [np.fromiter((number.setdefault(w, len(number) + 1) for w in x), np.int64, len(x)) for x in found]
+def repeated(found: list[bytes], copies: np.ndarray, window: int = WINDOW) -> list[int]:
+    """For each text of a shard, a bit for each of its windows: whether it starts more than once in the shard.
+
+    Words are numbered by their 64-bit hashes; all else is exact.
+    """
+    hashes, text = word_hashes(pa.array(found, pa.binary()))
+    number = np.unique(hashes, return_inverse=True)[1] + 1
+    texts = np.split(number, np.searchsorted(text, np.arange(1, len(found))))
     index = FMIndex(texts, copies, window)
-    return [int(np.packbits(x > 1, bitorder="little").tobytes().ljust(8, b"\0")[:8][::-1].hex(), 16) for x in index.occurrences(texts)]
+    return [int.from_bytes(np.packbits(x > 1, bitorder="little").tobytes(), "little") for x in index.occurrences(texts)]
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +173,14 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = [distinct.setdefault((r[0], r[5]), len(distinct)) for r in rows]
         copies = np.zeros(len(distinct), np.int64)
         np.add.at(copies, place, [r[4] for r in rows])
-        bits = repeated([w.split(b" ") for _, w in distinct], copies)
+        bits = repeated([w for _, w in distinct], copies)
         out = [(r[1], r[2], bits[p] << r[3]) for r, p in zip(rows, place) if bits[p]]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], []))], ["anchor", "context", "bits"])
 
     rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in _slices(batch, *range(6)):
             if size >= SHARD_WORDS and row[0] != rows[-1][0]:
                 yield settle(rows)
                 rows, size = [], 0
@@ -183,7 +197,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for text, hits in _slices(batch, 1, 2):
             found = expand.decompress(text).split()
             gone = np.zeros(len(found) + 1, np.int32)
             for x in hits or ():
