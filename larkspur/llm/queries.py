@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from larkspur.llm import ann, covertree, lines, mixing, packing, quality, secrets, simhash, substrings, token_files
+from larkspur.llm.oracles import ORACLES
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +18,4 @@ QUERIES = {
     "op10_nearest_neighbours": ann.op10_nearest_neighbours,
 }
 
-ORACLES: dict[str, str] = {
-    "op2_mix_sources": mixing.ORACLE,
-}
+__all__ = ["ORACLES", "QUERIES"]
