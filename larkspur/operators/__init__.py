@@ -4,8 +4,10 @@ from larkspur.operators.relational import (
     aggregate,
     as_of_join,
     cross_join,
+    deal,
     distinct,
     filter_rows,
+    gather,
     join,
     limit,
     offset,
@@ -17,4 +19,4 @@ from larkspur.operators.relational import (
     window,
 )
 
-__all__ = ["aggregate", "as_of_join", "cross_join", "distinct", "filter_rows", "join", "limit", "offset", "project", "range_join", "set_operation", "sort", "top_k", "window"]
+__all__ = ["aggregate", "as_of_join", "cross_join", "deal", "distinct", "filter_rows", "gather", "join", "limit", "offset", "project", "range_join", "set_operation", "sort", "top_k", "window"]

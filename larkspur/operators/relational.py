@@ -79,6 +79,17 @@ def top_k(df: DataFrame, k: int, *keys: str, nulls: str = "last") -> DataFrame:
     return sort(df, *keys, nulls=nulls).limit(k)
 
 
+def deal(df: DataFrame, partitions: int | None = None, *keys: str, by_range: bool = False) -> DataFrame:
+    """Deals rows out anew, by hash or ranges of keys; without a number, adaptive execution sizes the partitions."""
+    run = df.repartitionByRange if by_range else df.repartition
+    return run(*([partitions] if partitions else []), *keys)
+
+
+def gather(df: DataFrame, partitions: int) -> DataFrame:
+    """Fewer partitions without a shuffle."""
+    return df.coalesce(partitions)
+
+
 def set_operation(kind: str, left: DataFrame, right: DataFrame) -> DataFrame:
     return SET_OPERATIONS[kind](left, right)
 

@@ -385,6 +385,48 @@ def agg_collect(spark, d):
     return op.aggregate(table(spark, d, "nation"), ["n_regionkey"], n=F.count("*"), m=F.max("n_name"), s=F.array_join(names, ","))
 
 
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+def dealt_rows(spark, d):
+    return op.gather(op.aggregate(op.deal(table(spark, d, "orders"), None, "o_custkey"), ["o_custkey"], n=F.count("*")), 2)
+
+
+both("fn_trig", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({f}({x}), 6) AS {f}_" for f, x in [("sin", "l_quantity"), ("cos", "l_quantity"), ("tan", "l_discount"), ("asin", "l_discount"), ("acos", "l_discount"), ("atan", "l_quantity"), ("sinh", "l_discount"), ("cosh", "l_discount"), ("tanh", "l_discount"), ("cbrt", "l_quantity"), ("degrees", "l_discount"), ("radians", "l_quantity"), ("exp", "l_discount"), ("log2", "l_quantity"), ("log10", "l_quantity"), ("abs", "l_discount - 0.05")]) + ", round(pi(), 6) AS pi_, CAST(factorial(l_linenumber) AS bigint) AS factorial_ FROM lineitem")
+
+
+@query("SELECT p_partkey, lower(p_brand) AS a, ltrim('  ' || p_type) AS b, rtrim(p_type || '  ') AS c, repeat(p_type, 2) AS e, left(p_name, 3) AS f, right(p_name, 3) AS g, ascii(p_name)::INT AS h, chr(65 + p_size) AS i, bit_length(p_name)::INT AS j, strlen(p_name)::INT AS k, to_hex(p_partkey) AS l, contains(p_name, 're') AS m, ends_with(p_name, 'd') AS n, base64(encode(p_type)) AS o, rpad(p_type, 8, '.') AS q, concat(p_brand, '/', p_size) AS r FROM part")
+def fn_string_more(spark, d):
+    n, t = F.col("p_name"), F.col("p_type")
+    return op.project(
+        table(spark, d, "part"), p_partkey="p_partkey", a=F.lower("p_brand"), b=F.ltrim(F.concat(F.lit("  "), t)), c=F.rtrim(F.concat(t, F.lit("  "))), e=F.repeat(t, 2), f=F.left(n, F.lit(3)), g=F.right(n, F.lit(3)), h=F.ascii(n), i=F.chr(F.col("p_size") + 65),
+        j=F.bit_length(n), k=F.octet_length(n), l=F.hex("p_partkey"), m=F.contains(n, F.lit("re")), n=F.endswith(n, F.lit("d")), o=F.base64(t.cast("binary")), q=F.rpad(t, 8, "."), r=F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")),
+    )
+
+
+@query("SELECT event_id, CAST(extract(hour FROM ts) AS BIGINT) AS a, CAST(extract(minute FROM ts) AS BIGINT) AS b, (ts + INTERVAL 3 DAY)::TIMESTAMP AS c, last_day(ts)::TIMESTAMP AS e, CAST(extract(month FROM ts) AS BIGINT) AS f, CAST(extract(day FROM ts) AS BIGINT) AS g, make_timestamp(1000000 * event_id) AS h, ts::DATE::TIMESTAMP AS i, CAST(isodow(ts) AS BIGINT) AS j FROM events")
+def fn_date_more(spark, d):
+    at = F.col("ts")
+    return op.project(
+        table(spark, d, "events"), event_id="event_id", a=F.hour(at).cast("bigint"), b=F.minute(at).cast("bigint"), c=at + F.expr("INTERVAL 3 DAY"), e=F.last_day(at).cast("timestamp_ntz"), f=F.month(at).cast("bigint"), g=F.day(at).cast("bigint"),
+        h=F.timestamp_seconds("event_id").cast("timestamp_ntz"), i=F.to_date(at).cast("timestamp_ntz"), j=(F.weekday(at) + 1).cast("bigint"),
+    )
+
+
+@query("SELECT n_regionkey, list_sort(list(n_nationkey))::BIGINT[] AS a, list_sum(list(n_nationkey))::BIGINT AS b, len(list_filter(list(n_nationkey), lambda x: x % 2 = 0))::BIGINT AS c, list_sort(list_transform(list(n_nationkey), lambda x: x * 2))::BIGINT[] AS e, list_sort(list_concat(list(n_nationkey), [99]))::BIGINT[] AS f FROM nation GROUP BY n_regionkey")
+def fn_array_more(spark, d):
+    keys = F.collect_list(F.col("n_nationkey").cast("bigint"))
+    found = op.aggregate(table(spark, d, "nation"), ["n_regionkey"], k=keys)
+    return op.project(found, n_regionkey="n_regionkey", a=F.array_sort("k"), b="aggregate(k, 0L, (x, y) -> x + y)", c=F.size(F.filter("k", lambda x: x % 2 == 0)).cast("bigint"), e=F.array_sort(F.transform("k", lambda x: x * 2)), f=F.array_sort(F.array_append("k", F.lit(99).cast("bigint"))))
+
+
+@query("SELECT s.k AS k, s.v AS v, m['a'] AS a FROM (SELECT {'k': p_partkey, 'v': p_size} AS s, MAP {'a': p_brand, 'b': p_type} AS m FROM part)")
+def fn_struct_map(spark, d):
+    made = op.project(table(spark, d, "part"), s=F.struct(F.col("p_partkey").alias("k"), F.col("p_size").alias("v")), m=F.create_map(F.lit("a"), "p_brand", F.lit("b"), "p_type"))
+    return made.select("s.k", "s.v", F.col("m")["a"].alias("a"))
+
+
+both("agg_more", "SELECT l_returnflag, CAST(bit_and(l_linenumber) AS bigint) AS ba, CAST(bit_xor(l_linenumber) AS bigint) AS bx, bool_or(l_quantity > 49) AS bo, round(var_samp(l_quantity), 5) AS vs, round(stddev_pop(l_quantity), 6) AS sp, round(covar_samp(l_quantity, l_discount), 6) AS cs, round(regr_slope(l_extendedprice, l_quantity), 4) AS rs, CAST(regr_count(l_extendedprice, l_quantity) AS bigint) AS rc, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_returnflag")
+
+
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY ALL")
 def tumbling_window(spark, d):
     from larkspur import streaming
