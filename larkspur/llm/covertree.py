@@ -24,7 +24,7 @@ LEAF, CENTRES = 64, 48
 CELL_ROWS = 2048  # of members that a task holds
 PIVOTS, SAMPLE_ROWS = 1024, 8192  # at most
 BATCH_ROWS = 4096  # of visitors at a time
-SLACK = 1e-9
+SLACK = 1e-6  # above the rounding of distances that come from cosines
 
 
 class Node:
