@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_ROWS = 1000
 #: A word: a run without the space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +47,15 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of fewer rows than usual, as texts may be long.
+
+    The setting is the session's and stays; it changes no result.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; of null, none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

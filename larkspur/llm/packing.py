@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return common.map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), cut, PIECES)
 
 
 def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:

@@ -22,13 +22,13 @@ from larkspur.llm import common
 
 #: Labelled rows that the classifier is fitted on, at most: chosen by hash, so the same at each run.
 SAMPLE_ROWS = 6000
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 DIMENSIONS, NONZERO, WINDOW = 64, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 30, 128, 3e-3, 1e-3
 THRESHOLD = 0.3
 FOLDS = 5
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 
 class Buckets(dict):
@@ -168,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([word_ids(x).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "quality", "ids"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(numbers, "doc_id bigint, quality int, ids binary")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    found = common.map_texts(sample, numbers, "doc_id bigint, quality int, ids binary")
     table = found.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     sample = [np.frombuffer(x, np.int32) for x in table["ids"].to_pylist()]
     index = index_vectors()
@@ -188,7 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.score(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(apply, "doc_id bigint, score double")
+    return common.map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), apply, "doc_id bigint, score double")
 
 
 def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -202,7 +203,7 @@ def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
                 part = batch.slice(start, 256)
                 yield part.filter(pa.array(sent.value.score(part.column(at).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return common.map_texts(docs, choose, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

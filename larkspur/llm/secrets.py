@@ -144,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 3 + [pa.string()] * 2))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(find, SCHEMA)
+    return common.map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), find, SCHEMA)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 found = np.array([fingerprint(x, shingle) for x in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), part.column(2)], ["doc_id", "fp", "tag"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).mapInArrow(score, "doc_id bigint, fp bigint, tag bigint")
+    return common.map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tag")), score, "doc_id bigint, fp bigint, tag bigint")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

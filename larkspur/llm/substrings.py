@@ -233,20 +233,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     not used; an empty table gives no rows.
     """
     texts = docs.select(*_keys(), "text", F.col("doc_id").cast("bigint").alias("doc_id"))
-    marked = texts.select("k1", "k2", "text").mapInArrow(_mark, ANCHORS)
-    # counted with a map-side sum; the join splits anchors that very many documents share
-    twice = marked.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    marked = common.map_texts(texts.select("k1", "k2", "text"), _mark, ANCHORS)
+    # counted with a map-side sum, and kept, so that the join can split anchors that very many documents share
+    twice = common.keep(marked.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "twice")
     found = common.keep(marked.join(twice, "anchor"), "anchors")
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "first", "n")).alias("at"))
     contexts = common.keep(contexts.select("anchor", "context", "copies", "at.*"), "contexts")
     hot = contexts.groupBy("anchor").agg(F.count("*").alias("of")).where(F.col("of") > HOT_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
     cuts = contexts.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     cuts = cuts.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "copies", "first", "n", "hot")).alias("cuts"))  # of one document
-    packed = texts.mapInArrow(_pack, "k1 bigint, k2 bigint, text binary, doc_id bigint")
+    packed = common.map_texts(texts, _pack, "k1 bigint, k2 bigint, text binary, doc_id bigint")
     # rows that are equal altogether give one and the same context
     pieces = packed.join(cuts, ["k1", "k2"]).select("text", "cuts").mapInArrow(_cut, CONTEXTS)
     bits = pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search, "anchor bigint, context bigint, bits bigint")
     bits = common.keep(bits, "windows").groupBy("anchor", "context").agg(F.bit_or("bits").alias("bits"))
+    bits = common.keep(bits, "hits")
     hits = found.join(bits, ["anchor", "context"]).select("k1", "k2", "first", "bits").distinct()
     hits = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "bits")).alias("hits"))  # of one document
     return packed.join(hits, ["k1", "k2"], "left").select("doc_id", "text", "hits").mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")

@@ -87,7 +87,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("start", pa.int64()), ("planes", pa.list_(pa.binary()))])
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     spark = docs.sparkSession
-    dealt.mapInArrow(encode, CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
+    common.map_texts(dealt, encode, CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
     index = chunks.select("part", "chunk", F.col("doc_ids")[0].alias("first_doc_id"), F.size("doc_ids").alias("n_docs"), "n_ids", "start")
     index.coalesce(1).write.parquet(f"{path}/index")

@@ -13,7 +13,7 @@ UNCLEAN = re.compile(r"(?:\s|\A) (?:\s|\Z)")
 #: Where each line feed stands alone, it is a piece of its own.
 PAIRED = re.compile(r"\s\n|\n\s|\A\n|\n\Z")
 BLANK = re.compile(r"\s")
-KEPT_PIECES = 800_000
+KEPT_PIECES = 300_000
 
 
 class Encoder:
@@ -43,8 +43,8 @@ class Encoder:
             seen.clear()
             seen[""] = np.array(self._ids(before), "<u4").tobytes() if before else b""
             new = list(found)
-        odd = [x for x in new if not x or BLANK.search(x)]
-        new = [x for x in new if x and not BLANK.search(x)]
+        odd = [x for x in new if not x or BLANK.search(x)] if "" in found or BLANK.search("".join(new)) else []
+        new = [x for x in new if x and not BLANK.search(x)] if odd else new
         for x in odd:
             seen[x] = np.array(self._ids(before + x), "<u4").tobytes()
         if new and len(self.feed) == 1:
@@ -61,7 +61,10 @@ class Encoder:
         cut: list[list[list[str]] | None] = []
         for text in texts:
             text = text or ""
-            if UNCLEAN.search(text):
+            words = text.split()
+            if words and len(text) - len("".join(words)) == len(words) - 1:  # no blank has another beside it
+                cut.append([x.split(" ") for x in text.split("\n")])
+            elif UNCLEAN.search(text):
                 cut.append(None)
             else:
                 cut.append([x.split(" ") for x in (text.split("\n") if not PAIRED.search(text) else [text])])
