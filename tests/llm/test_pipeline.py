@@ -1,13 +1,16 @@
 """The pipeline's stages on odd documents, each against brute force where there is one."""
 
 import collections
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from larkspur.llm import mixing, simhash
+from larkspur.llm.labels import Labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,3 +70,22 @@ def test_mix_stage_takes_what_the_mix_says(spark, folder, odd):
     assert {("1" if k is None else f"0{k}"): v for k, v in drawn.items()} == {k: v for k, v in wanted.items() if v}
     whole = {r.text for r in odd.select("text").collect()}
     assert sum(r.text not in whole for r in found.select("text").collect()) <= len(wanted)
+
+
+def test_similar_stage_takes_all_of_similarity(spark, folder, odd_rows):
+    rng = random.Random(8)
+    texts = [r[1] for r in odd_rows]
+    base = [str(rng.randrange(10**6)) for _ in range(200)]
+    texts += [" ".join("new" if i in changed else w for i, w in enumerate(base)) for changed in (rng.sample(range(200), rng.randrange(9)) for _ in range(120))]
+    texts += [" ".join(base[:60] + [str(rng.randrange(10**6)) for _ in range(rng.randrange(10, 90))]) for _ in range(60)]  # one passage
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    labels = Labels(len(texts))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    labels.link(*np.array(pairs).T)
+    wanted = {min(i for i in range(len(texts)) if labels.of[i] == c) for c in set(labels.of.tolist())}
+    stage = dict(pipeline.STAGES)["SimHash near-dedup"]
+    assert {r.doc_id for r in stage(spark, docs, folder).select("doc_id").collect()} == wanted
