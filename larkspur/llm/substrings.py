@@ -3,7 +3,8 @@
 Every window of ``WINDOW`` words has an anchor: its leftmost ``GRAM`` words of least hash. Equal windows have equal
 anchors, so only anchors that occur twice matter. The run of windows around such an anchor is its context; distinct
 contexts (with their number of copies) are dealt out by anchor into shards. A shard's contexts make an FM-index, and
-each is streamed through it for the number of places where its windows start.
+each is streamed through it for the number of places where its windows start. Windows of an anchor with very many
+contexts are summed up by their digest instead, with a map-side sum, so no task holds all of a common passage's.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from larkspur.llm.fmindex import FMIndex
 
 WINDOW, GRAM = 35, 8
 SHARD_WORDS = 500_000
-HOT_CONTEXTS = 5_000  # distinct contexts of one anchor that go to one shard; with more, each window is dealt by itself
+HOT_CONTEXTS = 5_000  # distinct contexts of one anchor that go to one shard; with more, windows are counted by digest
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -116,7 +117,8 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "context", "k1", "k2", "first", "n"])
 
 
-CONTEXTS = "shard bigint, anchor bigint, context bigint, offset int, copies bigint, words binary"
+CONTEXTS = "anchor bigint, context bigint, copies bigint, words binary"
+SPOTS = "window binary, anchor bigint, context bigint, offset int, copies bigint"
 
 
 def _slices(batch: pa.RecordBatch, *columns: int, step: int = 256) -> Iterator[tuple]:
@@ -126,7 +128,7 @@ def _slices(batch: pa.RecordBatch, *columns: int, step: int = 256) -> Iterator[t
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts (text, cuts) of documents; those of hot anchors window by window."""
+    """The contexts (text, cuts) of documents."""
     import zstandard
 
     expand = zstandard.ZstdDecompressor()
@@ -135,21 +137,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, cuts in _slices(batch, 0, 1):
             found = expand.decompress(text).split()
             for x in cuts:
-                spans = [(x["first"] + j, 1, j) for j in range(x["n"])] if x["hot"] else [(x["first"], x["n"], 0)]
-                for first, n, j in spans:
-                    piece = found[first : first + n + WINDOW - 1]
-                    shard = int.from_bytes(hashlib.blake2b(b" ".join(piece), digest_size=8).digest(), "little", signed=True) if x["hot"] else x["anchor"]
-                    rows.append((shard, x["anchor"], x["context"], j, x["copies"], b" ".join(piece)))
+                rows.append((x["anchor"], x["context"], x["copies"], b" ".join(found[x["first"] : x["first"] + x["n"] + WINDOW - 1])))
             if len(rows) > 4096:
-                yield _batch(rows)
+                yield _batch(rows, CONTEXTS)
                 rows = []
         if rows:
-            yield _batch(rows)
+            yield _batch(rows, CONTEXTS)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["shard", "anchor", "context", "offset", "copies", "words"])
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A 128-bit digest of each window of the contexts (text, cuts) of hot anchors, and where it stands."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor()
+    for batch in batches:
+        rows: list[tuple] = []
+        for text, cuts in _slices(batch, 0, 1):
+            found = expand.decompress(text).split()
+            for x in cuts:
+                for j in range(x["n"]):
+                    piece = b" ".join(found[x["first"] + j : x["first"] + j + WINDOW])
+                    rows.append((hashlib.blake2b(piece, digest_size=16).digest(), x["anchor"], x["context"], j, x["copies"]))
+            if len(rows) > 4096:
+                yield _batch(rows, SPOTS)
+                rows = []
+        if rows:
+            yield _batch(rows, SPOTS)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*rows), types)], list(names))
 
 
 def repeated(found: list[bytes], copies: np.ndarray, window: int = WINDOW) -> list[int]:
@@ -165,27 +184,22 @@ def repeated(found: list[bytes], copies: np.ndarray, window: int = WINDOW) -> li
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fills shards with whole groups of rows, which arrive sorted by shard, and yields (anchor, context, bits)."""
+    """Fills shards with whole groups of rows, which arrive sorted by anchor, and yields (anchor, context, bits)."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        # equal windows of a hot anchor's contexts are one text of more copies
-        distinct: dict[tuple, int] = {}
-        place = [distinct.setdefault((r[0], r[5]), len(distinct)) for r in rows]
-        copies = np.zeros(len(distinct), np.int64)
-        np.add.at(copies, place, [r[4] for r in rows])
-        bits = repeated([w for _, w in distinct], copies)
-        out = [(r[1], r[2], bits[p] << r[3]) for r, p in zip(rows, place) if bits[p]]
+        bits = repeated([r[3] for r in rows], np.array([r[2] for r in rows], np.int64))
+        out = [(r[0], r[1], b) for r, b in zip(rows, bits) if b]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], []))], ["anchor", "context", "bits"])
 
     rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in _slices(batch, *range(6)):
+        for row in _slices(batch, *range(4)):
             if size >= SHARD_WORDS and row[0] != rows[-1][0]:
                 yield settle(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += row[5].count(b" ") + 2
+            size += row[3].count(b" ") + 2
     if rows:
         yield settle(rows)
 
@@ -239,13 +253,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = common.keep(marked.join(twice, "anchor"), "anchors")
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "first", "n")).alias("at"))
     contexts = common.keep(contexts.select("anchor", "context", "copies", "at.*"), "contexts")
-    hot = contexts.groupBy("anchor").agg(F.count("*").alias("of")).where(F.col("of") > HOT_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
-    cuts = contexts.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    cuts = cuts.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "copies", "first", "n", "hot")).alias("cuts"))  # of one document
+    hot = contexts.groupBy("anchor").agg(F.count("*").alias("of")).where(F.col("of") > HOT_CONTEXTS).select("anchor")
+    hot = common.keep(hot, "hot")
+    of_document = lambda x: x.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "copies", "first", "n")).alias("cuts"))
+    cuts = of_document(contexts.join(hot, "anchor", "left_anti"))
     packed = common.map_texts(texts, _pack, "k1 bigint, k2 bigint, text binary, doc_id bigint")
     # rows that are equal altogether give one and the same context
     pieces = packed.join(cuts, ["k1", "k2"]).select("text", "cuts").mapInArrow(_cut, CONTEXTS)
-    bits = pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search, "anchor bigint, context bigint, bits bigint")
+    bits = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "anchor bigint, context bigint, bits bigint")
+    if hot.limit(1).count():
+        spots = packed.join(of_document(contexts.join(hot, "anchor", "left_semi")), ["k1", "k2"]).select("text", "cuts").mapInArrow(_spots, SPOTS)
+        spots = common.keep(spots, "spots")  # so that the join can split windows that very many contexts share
+        again = common.keep(spots.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "again")
+        bits = bits.union(spots.join(again, "window").select("anchor", "context", F.expr("shiftleft(1L, offset)").alias("bits")))
     bits = common.keep(bits, "windows").groupBy("anchor", "context").agg(F.bit_or("bits").alias("bits"))
     bits = common.keep(bits, "hits")
     hits = found.join(bits, ["anchor", "context"]).select("k1", "k2", "first", "bits").distinct()

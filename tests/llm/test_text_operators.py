@@ -484,3 +484,27 @@ def test_secret_scan_odd(odd, odd_rows, none):
 
 def test_all_numbers_are_registered():
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
+
+
+def test_hot_windows_go_to_no_shard(spark, monkeypatch):
+    whole, most = substrings._search, 50
+
+    def search(batches):
+        seen = {}
+
+        def counted():
+            for batch in batches:
+                for shard in batch.column(0).to_pylist():
+                    seen[shard] = seen.get(shard, 0) + 1
+                    assert seen[shard] <= most, "one shard holds a common passage of all documents"
+                yield batch
+
+        yield from whole(counted())
+
+    monkeypatch.setattr(substrings, "HOT_CONTEXTS", 10)
+    monkeypatch.setattr(substrings, "_search", search)
+    rng = random.Random(9)
+    passage = " ".join(str(rng.random()) for _ in range(50))
+    texts = [f"{rng.random()} {rng.random()} {passage} " + " ".join(str(rng.random()) for _ in range(30)) for _ in range(200)]
+    found = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert table(found, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(((i, *w) for i, w in enumerate(brute_substrings(texts))), key=repr)
