@@ -32,14 +32,19 @@ KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 
 SEPARATOR = re.compile(r":=|=>|[:=]")
-NAME = re.compile(r"""["']?([A-Za-z_$][\w.$-]{0,79})["']?[ \t]{0,8}\Z""", re.ASCII)
-VALUE = re.compile(r"""[ \t]{0,8}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|([^\s"',;#(){}\[\]<>|&+]{1,4096}))""")
-JOIN = re.compile(r"[ \t]{0,8}(?:\+|\.\.)(?![=+])")
+NAME = re.compile(r"""["']?([A-Za-z_$][\w.$-]{0,79})["']?\Z""", re.ASCII)
+LITERAL = r"""(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|([^\s"',;#(){}\[\]<>|&+]++))"""
+VALUE = re.compile(r"[ \t]*+" + LITERAL)
+MORE = re.compile(r"(?:\s|\\\r?\n)*+" + LITERAL)  # after a join
+JOIN = re.compile(r"(?:\s|\\\r?\n)*+(?:\+|\.\.)(?![=+])")
+NEXT = re.compile(r"[ \t]*+[:=](?!=)")
+BLOCK = re.compile(r"[ \t]*+[|>][-+\d]{0,2}[ \t]*+\r?\n")  # of YAML
+BLOCK_LINE = re.compile(r"([ \t]*+)([^\n]*+)(?:\n|\Z)")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: How sensitive the words of a name are; two words that stand together count as one.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "authorization": 2, "auth": 2, "bearer": 2, "pin": 1, "pass": 2, "signature": 1}
 SENSITIVE_PAIRS = {("api", "key"), ("private", "key"), ("access", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("session", "key"), ("auth", "key"), ("account", "key"), ("client", "secret"), ("connection", "string")}
-PLACEHOLDER = re.compile(r"(?i)(?:change.?me|example|placeholder|dummy|sample|redacted|your[_-]|x{3,}|\*{3,}|\.{3}|none|null|nil|true|false|undefined|todo|test)\b|\$\{|<[^>]*>|%\(|\{\{")
+PLACEHOLDER = re.compile(r"(?i)(?:change.?me|example|placeholder|dummy|sample|redacted|your[_-]|x{3}|\*{3}|\.{3}|none|null|nil|true|false|undefined|todo|test)\b|\$\{|<[^<>]*>|%\(|\{\{")
 LEAST_CHARS, LEAST_SCORE = 8, 4.0
 
 
@@ -74,6 +79,22 @@ def literal_score(value: str) -> float:
     return min(2.0, entropy(value) / 2) + (classes - 1) / 3
 
 
+def block_spans(text: str, at: int, place: int) -> list[tuple[int, int]]:
+    """The lines of a YAML block that starts at ``place``, of a key whose colon is at ``at``: those indented more."""
+    line = text.rfind("\n", 0, at) + 1
+    indent = len(BLOCK_LINE.match(text, line)[1])
+    found = []
+    while place < len(text):
+        row = BLOCK_LINE.match(text, place)
+        inner = row[2].rstrip()
+        if inner and len(row[1]) <= indent:
+            break
+        if inner:
+            found.append((row.start(2), row.start(2) + len(inner)))
+        place = row.end()
+    return found
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """The literals (start, end, "lexed") that reach sensitive names."""
     if "=" not in text and ":" not in text:
@@ -85,12 +106,17 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
         at, after = mark.span()
         if at < done or text[at - 1 : at] in "=!<>" and at or text[after : after + 1] == "=":
             continue
-        if not (name := NAME.search(text[max(0, at - 96) : at])):
+        end = at
+        while end and text[end - 1] in " \t":
+            end -= 1
+        if not (name := NAME.search(text[max(0, end - 96) : end])):
             continue
         spans: list[tuple[int, int]] = []
         place, literal = after, True
-        while value := VALUE.match(text, place):
+        while value := (MORE if spans else VALUE).match(text, place):
             group = value.lastindex
+            if spans and group == 3 and "\n" in text[value.start() : value.start(3)] + text[joined:place] and NEXT.match(text, value.end()):
+                break  # the next line's own name, as in a patch
             start, stop = value.span(group)
             bare = value[group].rstrip(".")
             if group == 3 and bare in known:
@@ -101,13 +127,16 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
             place = value.end()
             if not (more := JOIN.match(text, place)):
                 break
-            place = more.end()
+            joined, place = place, more.end()
+        if not spans and text[at] == ":" and (block := BLOCK.match(text, after)):
+            place = block.end()
+            spans = block_spans(text, at, place)
         if not spans:
             continue
         done = place if literal else done
         whole = "".join(text[a:b] for a, b in spans)
         if literal or len(spans) > 1 or spans[0][0] < at:
-            known[name[1]] = spans[:64]
+            known[name[1]] = list(dict.fromkeys(spans))
         weight = sensitivity(name[1])
         if weight and weight + literal_score(whole) >= LEAST_SCORE:
             found |= {(a, b, "lexed") for a, b in spans if b > a}

@@ -486,6 +486,20 @@ def test_all_numbers_are_registered():
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
 
 
+def test_lexed_spans_have_no_caps():
+    said = lambda text: [text[a:b] for a, b, _ in secrets.lexed_spans(text)]
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefGHIJ0123456789") for _ in range(10_000))
+    assert said(f'passphrase = "{long}"') == said(f"passphrase = {long}") == [long]
+    assert said('db_passphrase            =            "Zk39fQp1xWv7"') == ["Zk39fQp1xWv7"]
+    assert said('passphrase = "Zk39fQp1" +\n    "xWv7Lm20"\n') == said('passphrase = "Zk39fQp1"\n  + "xWv7Lm20"\n') == ["Zk39fQp1", "xWv7Lm20"]
+    assert said("passphrase: |\n  Zk39fQp1xWv7\n  Lm20xWv7\nother: 1\n") == ["Zk39fQp1xWv7", "Lm20xWv7"]
+    parts = [f"k{i}Q{i * 7}" for i in range(100)]
+    text = "base = " + " + ".join(f'"{x}"' for x in parts) + "\npassphrase = base\n"
+    assert said(text) == parts
+    assert said('a = "Zk39fQp1xWv7"\n+passphrase = "Lm20xWv7Qp13"\n+a = "x"') == ["Lm20xWv7Qp13"]
+
+
 def test_hot_windows_go_to_no_shard(spark, monkeypatch):
     whole, most = substrings._search, 50
 
