@@ -25,6 +25,7 @@ CELL_ROWS = 2048  # of members that a task holds
 PIVOTS, SAMPLE_ROWS = 1024, 8192  # at most
 BATCH_ROWS = 4096  # of visitors at a time
 SLACK = 1e-6  # above the rounding of distances that come from cosines
+NOISE = 1e-7  # distances up to this are rounding, also a vector's to itself
 
 
 class Node:
@@ -42,10 +43,10 @@ def build(x: np.ndarray) -> Node:
     """A cover tree over unit vectors. A level takes centres that are more than its radius apart, each with what it
     covers; what so many centres leave uncovered (vectors far from each other) is a leaf under the same centre."""
     top = Node(np.arange(len(x)), x[0], float(distances(x, x[0]).max()))
-    todo = [(top, max(top.radius / 2, 1e-12))]
+    todo = [(top, max(top.radius / 2, NOISE))]
     while todo:
         node, reach = todo.pop()
-        if len(node.rows) <= LEAF or node.radius <= 1e-12:
+        if len(node.rows) <= LEAF or node.radius <= NOISE:
             continue
         left = node.rows
         for _ in range(CENTRES):
@@ -53,6 +54,7 @@ def build(x: np.ndarray) -> Node:
                 break
             far = distances(x[left], x[left[0]])
             near = far <= reach
+            near[0] = True
             child = Node(left[near], x[left[0]], float(far[near].max()))
             left = left[~near]
             if len(child.rows) > 1 or len(left) == 0:
@@ -184,6 +186,8 @@ def links(rows: DataFrame, wide: int, cosine: float = COSINE, cell_rows: int = C
     sample = _unit(sample, wide) if total else np.zeros((0, wide))
     chosen, gap = [], np.full(len(sample), np.inf)
     for _ in range(min(PIVOTS, len(sample), -(-total // cell_rows))):
+        if chosen and gap.max() <= SLACK:
+            break  # all others have the direction of a pivot
         chosen.append(0 if not chosen else int(gap.argmax()))
         gap = np.minimum(gap, distances(sample, sample[chosen[-1]]))
     pivots = sample[chosen]

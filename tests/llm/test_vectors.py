@@ -97,3 +97,20 @@ def test_probes_come_in_order_and_once():
     few, more = set(hashed.probes(place, 0, 1).tolist()), set(hashed.probes(place, 0, 20).tolist())
     assert few == {int(own)} and few <= more and len(more) == 20
     assert len(hashed.probes(place, 0, 10_000)) == 3**4
+
+
+@pytest.mark.parametrize("cell_rows", [32, 4096])
+def test_rescaled_copies(spark, cell_rows):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=48)
+    rows = [(i, [float(v) for v in x * s]) for i, s in enumerate(rng.uniform(0.1, 9, 500))]
+    found = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.9, cell_rows).collect()
+    assert {(r.n_links, r.component_id) for r in found} == {(499, 0)} and len(found) == 500
+
+
+def test_cover_tree_of_one_direction_ends():
+    rng = np.random.default_rng(1)
+    for seed in range(40):
+        x = rng.normal(size=48) * rng.uniform(0.1, 9, (200, 1))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert len(covertree.build(x).rows) == 200
