@@ -107,9 +107,9 @@ def window(df: DataFrame, partition: Sequence[str], order: Sequence[Column | str
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: int, on: Sequence[str] = ()) -> DataFrame:
     """Rows of ``points`` with low <= point < high, by numeric bins of ``width`` in place of comparing all pairs.
 
-    A span goes to each bin that it touches, so ``width`` should be near the usual span.
+    A span goes to each bin that it touches, its end's too, so ``width`` should be near the usual span.
     """
-    last = F.when(F.col(high) > F.col(low), F.floor((F.col(high) - 1e-9 * F.abs(F.col(high))) / width))
+    last = F.when(F.col(high) > F.col(low), F.floor(F.col(high) / width))
     binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.greatest(last, F.floor(F.col(low) / width)))))
     keyed = points.withColumn("_bin", F.floor(F.col(point) / width))
     return keyed.join(binned, [*on, "_bin"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin")

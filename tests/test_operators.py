@@ -163,3 +163,9 @@ def test_schemas(spark):
         assert spark.createDataFrame([], ddl).count() == 0
     with pytest.raises(KeyError):
         catalog.tpch_schema("nothing")
+
+
+def test_range_join_of_large_keys(spark):
+    points = sources.values(spark, [(1700000000,)], "p bigint")
+    spans = sources.values(spark, [(1699999990, 1700000001, "a"), (1699999990, 1700000000, "b")], "low bigint, high bigint, s string")
+    assert rows(op.range_join(points, spans, "p", "low", "high", 25).select("s")) == [("a",)]
