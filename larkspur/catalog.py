@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.min(price).alias("ps_supplycost"))
 
 
+def named(sql: str) -> list[str]:
+    """The tables that a text names; ``partsupp`` is made from ``lineitem``."""
+    words = set(re.findall(r"\w+", sql))
+    return [t for t in TABLES if t in words or t == "lineitem" and "partsupp" in words]
+
+
 def register(spark: SparkSession, sf_dir: str, tables=TABLES) -> None:
     """Makes the tables (and ``partsupp``) known to SQL as temporary views."""
     for name in tables:

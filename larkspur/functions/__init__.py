@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["date_bin", "gcd", "iszero", "lcm", "safe_divide", "trunc"]
+__all__ = ["date_bin", "gcd", "iszero", "lcm", "safe_divide", "trunc", "whole_number"]
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """The greatest common divisor, by Euclid's steps (at most 92 for 64 bits); gcd(0, 0) is 0."""
-    start = F.struct(F.abs(a).cast("bigint").alias("x"), F.abs(b).cast("bigint").alias("y"))
-    step = lambda s, _: F.when(s.y == 0, s).otherwise(F.struct(s.y.alias("x"), F.try_mod(s.x, s.y).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s.x)
+    """The greatest common divisor by Euclid's steps; gcd(0, 0) is 0.
+
+    The number of steps is at most the smaller one's logarithm to the golden ratio, and two; two are taken at a time.
+    """
+    x, y = F.abs(a).cast("bigint"), F.abs(b).cast("bigint")
+    most = F.ceil(F.log1p(F.least(x, y)) * 1.0391).cast("int") + 2  # 1 / (2 ln 1.618)
+    steps = F.sequence(F.lit(1), F.coalesce(most, F.lit(1)))
+    rest = lambda p, q: F.when(q == 0, F.lit(0)).otherwise(p % q)
+
+    def step(s: Column, _: Column) -> Column:
+        after = rest(s.x, s.y)
+        return F.when(s.y == 0, s).otherwise(F.struct(F.when(after == 0, s.y).otherwise(after).alias("x"), rest(s.y, after).alias("y")))
+
+    start = F.struct(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"))
+    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(steps, start, step, lambda s: s.x))
 
 
 def lcm(a: Column, b: Column) -> Column:
@@ -35,6 +46,11 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def whole_number(text: Column, kind: str = "int") -> Column:
+    """A text's whole number, null where it is none. Only texts of digits are cast, as a failing cast is costly."""
+    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast(kind))
+
+
 def date_bin(size: str, at: Column) -> Column:
     """The start of the bin of a fixed size that a time falls in."""
     return F.window(at.cast("timestamp"), size)["start"]

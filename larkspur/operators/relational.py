@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A side that is sent to all tasks on demand is estimated at no more.
+SENT_BYTES = 64 << 20
+
 SET_OPERATIONS = {
     "union_all": lambda a, b: a.unionByName(b),
     "union": lambda a, b: a.unionByName(b).distinct(),
@@ -46,10 +49,15 @@ def distinct(df: DataFrame, *columns: str) -> DataFrame:
 def join(left: DataFrame, right: DataFrame, on, how: str = "inner", *, small: bool = False) -> DataFrame:
     """A join by names, or by a condition that may hold more than equalities. Null keys match nothing.
 
-    ``small`` says that the right side is bounded and small (a dimension of fixed size), so it is sent to all tasks;
-    otherwise the sizes decide, at run time too.
+    ``small`` expects a right side of fixed size (a dimension), which is sent to all tasks if its estimate is at most
+    ``SENT_BYTES``; otherwise the sizes decide, at run time too.
     """
-    return left.join(F.broadcast(right) if small else right, on, how)
+    return left.join(F.broadcast(right) if small and estimate(right) <= SENT_BYTES else right, on, how)
+
+
+def estimate(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size in bytes; an upper bound for plain scans, filters and projections."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -109,10 +117,13 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high:
 
     A span goes to each bin that it touches, its end's too, so ``width`` should be near the usual span.
     """
-    last = F.when(F.col(high) > F.col(low), F.floor(F.col(high) / width))
-    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.greatest(last, F.floor(F.col(low) / width)))))
-    keyed = points.withColumn("_bin", F.floor(F.col(point) / width))
-    return keyed.join(binned, [*on, "_bin"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin")
+    bin_ = "_bin"
+    while bin_ in points.columns or bin_ in spans.columns:
+        bin_ += "_"
+    first, last = F.floor(F.col(low) / width), F.floor(F.col(high) / width)  # the same rounding as a point's, so no bin is missed
+    binned = spans.where(F.col(high) > F.col(low)).withColumn(bin_, F.explode(F.sequence(first, last)))
+    keyed = points.withColumn(bin_, F.floor(F.col(point) / width))
+    return keyed.join(binned, [*on, bin_]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(bin_)
 
 
 def as_of_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, columns: Sequence[str]) -> DataFrame:

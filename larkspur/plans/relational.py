@@ -29,7 +29,7 @@ def both(name: str, sql: str) -> None:
     """Registers one text that Spark and DuckDB both run."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        catalog.register(spark, sf_dir)
+        catalog.register(spark, sf_dir, catalog.named(sql))
         return spark.sql(sql)
 
     QUERIES[name], ORACLES[name] = run, sql
@@ -225,9 +225,9 @@ def join_theta(spark, d):
     return op.join(table(spark, d, "nation"), table(spark, d, "region"), F.col("n_regionkey") > F.col("r_regionkey"), small=True).select(F.col("n_nationkey").alias("k1"), F.col("r_regionkey").alias("k2"))
 
 
-@query("WITH bands AS (SELECT p_partkey AS low, p_partkey + p_size AS high FROM part WHERE p_partkey % 10 = 0) SELECT s_suppkey, low FROM supplier JOIN bands ON s_suppkey >= low AND s_suppkey < high")
+@query("WITH bands AS (SELECT p_partkey AS low, p_partkey + p_size AS high FROM part) SELECT s_suppkey, low FROM supplier JOIN bands ON s_suppkey >= low AND s_suppkey < high")
 def join_range(spark, d):
-    bands = table(spark, d, "part", where="p_partkey % 10 = 0").select(F.col("p_partkey").alias("low"), (F.col("p_partkey") + F.col("p_size")).alias("high"))
+    bands = table(spark, d, "part").select(F.col("p_partkey").alias("low"), (F.col("p_partkey") + F.col("p_size")).alias("high"))
     return op.range_join(table(spark, d, "supplier").select("s_suppkey"), bands, "s_suppkey", "low", "high", 25).select("s_suppkey", "low")
 
 
@@ -376,7 +376,7 @@ def unnest(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, TRY_CAST(l_returnflag AS INT) AS a, CAST(l_quantity AS BIGINT) AS b, CAST(l_linenumber AS VARCHAR) AS c, l_extendedprice / nullif(l_linenumber - 1, 0) AS e FROM lineitem")
 def fn_cast(spark, d):
-    return op.project(table(spark, d, "lineitem"), l_orderkey="l_orderkey", l_linenumber="l_linenumber", a=F.col("l_returnflag").try_cast("int"), b=F.col("l_quantity").cast("bigint"), c=F.col("l_linenumber").cast("string"), e=functions.safe_divide(F.col("l_extendedprice"), F.col("l_linenumber") - 1))
+    return op.project(table(spark, d, "lineitem"), l_orderkey="l_orderkey", l_linenumber="l_linenumber", a=functions.whole_number(F.col("l_returnflag")), b=F.col("l_quantity").cast("bigint"), c=F.col("l_linenumber").cast("string"), e=functions.safe_divide(F.col("l_extendedprice"), F.col("l_linenumber") - 1))
 
 
 @query("SELECT n_regionkey, count(*) AS n, max(n_name) AS m, string_agg(n_name, ',' ORDER BY n_nationkey) AS s FROM nation GROUP BY n_regionkey")
@@ -434,3 +434,158 @@ def tumbling_window(spark, d):
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     found = streaming.tumbling(events, "ts", "6 hours", ("event_type",), n=F.count("*"), v=F.round(F.sum("value"), 2))
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "v")
+
+
+# further members of the function families
+
+
+@query("SELECT l_orderkey, l_linenumber, round(asinh(l_quantity), 6) AS a, round(acosh(l_quantity), 6) AS b, round(atanh(l_discount), 6) AS c, round(cot(l_quantity), 4) AS e, round_even(l_quantity / 4, 0) AS f, isnan(l_tax) AS g, round(l_extendedprice, -2) AS h FROM lineitem")
+def fn_math_more(spark, d):
+    q, x = F.col("l_quantity"), F.col("l_discount")
+    return op.project(table(spark, d, "lineitem"), l_orderkey="l_orderkey", l_linenumber="l_linenumber", a=F.round(F.asinh(q), 6), b=F.round(F.acosh(q), 6), c=F.round(F.atanh(x), 6), e=F.round(F.cot(q), 4), f=F.bround(q / 4, 0), g=F.isnan(F.nanvl(F.col("l_tax"), F.lit(0.0))), h=F.round("l_extendedprice", -2))
+
+
+@query("SELECT event_id, coalesce(nullif(event_type, 'view'), 'seen') AS a, CASE WHEN nullif(event_type, 'click') IS NOT NULL THEN 'other' ELSE 'click' END AS b, greatest(value, 10) AS c, least(value, 10) AS e, if(value > 50, 'high', 'low') AS f, lower(typeof(value)) AS g, lower(typeof(event_id)) AS h FROM events")
+def fn_conditional(spark, d):
+    kind, value = F.col("event_type"), F.col("value")
+    return op.project(
+        table(spark, d, "events"), event_id="event_id", a=F.nvl(F.nullif(kind, F.lit("view")), F.lit("seen")), b=F.nvl2(F.nullif(kind, F.lit("click")), F.lit("other"), F.lit("click")), c=F.greatest(value, F.lit(10.0)), e=F.least(value, F.lit(10.0)), f=F.when(value > 50, "high").otherwise("low"),
+        g=F.typeof(value), h=F.typeof("event_id"),
+    )
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS a, trim(p_name, 'ab') AS b, substr(p_name, 1, 1) || 'XY' || substr(p_name, 4) AS c, coalesce(list_position(['x', p_type, 'y'], p_type), 0)::INT AS e, array_to_string(string_split(p_name, ' ')[1:2], ' ') AS f, decode(unhex(hex(p_name))) AS g, sha1(p_name) AS h, instr(p_brand, '#')::INT AS i FROM part")
+def fn_string_third(spark, d):
+    n, t = F.col("p_name"), F.col("p_type")
+    return op.project(
+        table(spark, d, "part"), p_partkey="p_partkey", a=F.initcap(n), b=F.btrim(n, F.lit("ab")), c=F.overlay(n, F.lit("XY"), 2, 2), e=F.find_in_set(t, F.concat(F.lit("x,"), t, F.lit(",y"))), f=F.substring_index(n, " ", 2), g=F.decode(F.unhex(F.hex(F.encode(n, "UTF-8"))), "UTF-8"), h=F.sha1(n.cast("binary")),
+        i=F.position(F.lit("#"), F.col("p_brand")),
+    )
+
+
+@query("SELECT p_partkey, regexp_extract_all(p_name, '[aeiou]') AS a, len(regexp_extract_all(p_name, '[a-m]'))::INT AS b, regexp_extract(p_name, '([a-z]+) ([a-z]+)', 2) AS c FROM part")
+def fn_regex_more(spark, d):
+    n = F.col("p_name")
+    return op.project(table(spark, d, "part"), p_partkey="p_partkey", a=F.regexp_extract_all(n, F.lit("[aeiou]"), F.lit(0)), b=F.regexp_count(n, F.lit("[a-m]")), c=F.regexp_extract(n, "([a-z]+) ([a-z]+)", 2))
+
+
+@query("SELECT event_id, strptime(strftime(ts, '%Y/%m/%d %H:%M'), '%Y/%m/%d %H:%M')::TIMESTAMP AS a, strftime(make_timestamp(1000000 * event_id), '%Y-%m-%d %H:%M:%S') AS b, time_bucket(INTERVAL 15 MINUTES, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS c, strftime(ts, '%d.%m.%Y') AS e, CAST(date_diff('month', TIMESTAMP '2023-01-01', date_trunc('month', ts)) AS BIGINT) AS f, dayname(ts)[1:3] AS g FROM events")
+def fn_date_parse(spark, d):
+    at = F.col("ts")
+    form = "yyyy/MM/dd HH:mm"
+    return op.project(
+        table(spark, d, "events"), event_id="event_id", a=F.to_timestamp(F.date_format(at, form), form).cast("timestamp_ntz"), b=F.from_unixtime("event_id"), c=functions.date_bin("15 minutes", at).cast("timestamp_ntz"), e=F.date_format(at, "dd.MM.yyyy"),
+        f=F.months_between(F.date_trunc("month", at), F.lit("2023-01-01").cast("timestamp")).cast("bigint"), g=F.date_format(at, "EEE"),
+    )
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(list_concat(a, b))) AS u, list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS x, list_sort(list_distinct(list_filter(a, lambda x: list_contains(b, x)))) AS i, a[2:3] AS s, list_concat(a, b) AS f, list_filter(a, lambda x: x <> 'red') AS r, list_transform(range(3), lambda k: p_size) AS p, len(list_filter(a, lambda x: list_contains(b, x))) > 0 AS o, list_reverse(a) AS v FROM (SELECT *, string_split(p_name, ' ') AS a, string_split('red blue ' || lower(p_type), ' ') AS b FROM part)")
+def fn_array_sets(spark, d):
+    found = table(spark, d, "part").withColumns({"a": F.split("p_name", " "), "b": F.split(F.concat(F.lit("red blue "), F.lower("p_type")), " ")})
+    return op.project(
+        found, p_partkey="p_partkey", u=F.array_sort(F.array_union("a", "b")), x=F.array_sort(F.array_except("a", "b")), i=F.array_sort(F.array_intersect("a", "b")), s=F.slice("a", 2, 2), f=F.flatten(F.array("a", "b")), r=F.array_remove("a", "red"), p=F.array_repeat("p_size", 3),
+        o=F.arrays_overlap("a", "b"), v=F.reverse("a"),
+    )
+
+
+@query("SELECT p_partkey, map_keys(m) AS k, map_values(m) AS v, cardinality(m)::INT AS n FROM (SELECT p_partkey, MAP {'a': p_brand, 'b': p_type} AS m FROM part)")
+def fn_map_more(spark, d):
+    made = op.project(table(spark, d, "part"), p_partkey="p_partkey", m=F.create_map(F.lit("a"), "p_brand", F.lit("b"), "p_type"))
+    return op.project(made, p_partkey="p_partkey", k=F.map_keys("m"), v=F.map_values("m"), n=F.size("m"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, '{\"id\":' || event_id || ',\"t\":\"' || event_type || '\"}' AS j FROM events")
+def fn_json_more(spark, d):
+    return op.project(table(spark, d, "events"), event_id="event_id", k=F.from_json("props", "k string")["k"], j=F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("t"))))
+
+
+@query("SELECT l_returnflag, true AS near_count, true AS near_median FROM lineitem GROUP BY l_returnflag")
+def agg_approximate(spark, d):
+    """Approximate aggregates within 10 % and one unit of the exact ones."""
+    exact = F.count_distinct("l_partkey")
+    return op.aggregate(
+        table(spark, d, "lineitem"), ["l_returnflag"], near_count=F.abs(F.approx_count_distinct("l_partkey", 0.02) - exact) <= 0.1 * exact, near_median=F.abs(F.percentile_approx("l_quantity", 0.5, 10_000) - F.median("l_quantity")) <= 1,
+    )
+
+
+# files, views and descriptions
+
+
+def _again(spark, d, kind: str, **options):
+    """A table written in a format and read back with its schema."""
+    found = table(spark, d, "orders", columns=["o_orderkey", "o_orderpriority", "o_totalprice"])
+    path = sources.scratch(spark, kind)
+    sources.write(found, path, kind=kind, **options)
+    return sources.scan(spark, path, kind=kind, schema="o_orderkey bigint, o_orderpriority string, o_totalprice double", **options)
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def file_csv(spark, d):
+    return _again(spark, d, "csv", header=True)
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def file_json(spark, d):
+    return _again(spark, d, "json")
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def file_orc(spark, d):
+    return _again(spark, d, "orc")
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY ALL")
+def file_partitioned(spark, d):
+    """Folders by the values of a column: the filter reads one of them."""
+    path = sources.scratch(spark, "by-priority")
+    sources.write(table(spark, d, "orders", columns=["o_orderkey", "o_orderpriority"]), path, partition_by=["o_orderpriority"])
+    return op.aggregate(sources.scan(spark, path, where="o_orderpriority LIKE '1%'"), ["o_orderpriority"], n=F.count("*"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")
+def create_view(spark, d):
+    catalog.register(spark, d, ["customer"])
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW overdrawn AS SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")
+    return spark.sql("SELECT * FROM overdrawn")
+
+
+@query("SELECT col_name, data_type FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) AS t(col_name, data_type)")
+def describe_table(spark, d):
+    catalog.register(spark, d, ["nation"])
+    return spark.sql("DESCRIBE nation").select("col_name", "data_type")
+
+
+@query("SELECT true AS filters, true AS prunes")
+def explain_plan(spark, d):
+    """The plan of a query as a row: it filters, and reads two columns."""
+    catalog.register(spark, d, ["nation"])
+    plan = F.col("plan")
+    return spark.sql("EXPLAIN FORMATTED SELECT n_name FROM nation WHERE n_regionkey = 1").select(plan.contains("PushedFilters: [IsNotNull(n_regionkey), EqualTo(n_regionkey,1)]").alias("filters"), plan.contains("ReadSchema: struct<n_name:string,n_regionkey:int>").alias("prunes"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def join_sort_merge(spark, d):
+    """The join of two large tables, as it is planned beyond every broadcast."""
+    orders = table(spark, d, "orders", columns=["o_orderkey", "o_orderdate"])
+    return op.join(table(spark, d, "lineitem", columns=["l_orderkey", "l_linenumber"]).hint("merge"), orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderdate")
+
+
+# windows of time
+
+
+@query("SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([b, b - INTERVAL 3 HOURS]) AS start FROM (SELECT event_type, time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events)) GROUP BY ALL")
+def sliding_window(spark, d):
+    from larkspur import streaming
+
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streaming.tumbling(events, "ts", "6 hours", ("event_type",), slide="3 hours", n=F.count("*"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh, event_id FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def session_window(spark, d):
+    from larkspur import streaming
+
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streaming.sessions(events, "ts", "30 minutes", ("user_id",), n=F.count("*"))
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -175,7 +175,7 @@ TEXTS = {
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        catalog.register(spark, sf_dir)
+        catalog.register(spark, sf_dir, catalog.named(text))
         return spark.sql(text)
 
     return run

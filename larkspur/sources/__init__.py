@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-__all__ = ["one_row", "scan", "values", "write"]
+__all__ = ["one_row", "scan", "scratch", "values", "write"]
 
 
 def scan(spark: SparkSession, path: str | list[str], *, schema: str | None = None, columns: Sequence[str] | None = None, where: Column | str | None = None, kind: str = "parquet", **options) -> DataFrame:
@@ -33,3 +34,9 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def write(df: DataFrame, path: str, *, kind: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists", **options) -> None:
     """Writes a table, in folders by the values of some columns if wanted."""
     df.write.format(kind).mode(mode).options(**options).partitionBy(*partition_by).save(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in a folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -12,9 +12,9 @@ def stream(spark: SparkSession, folder: str, schema: str, time: str, late: str =
     return found.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
-def tumbling(events: DataFrame, time: str, size: str, keys: tuple[str, ...] = (), **aggregates) -> DataFrame:
-    """Sums over windows of a fixed size, for streams and tables alike."""
-    grouped = events.groupBy(F.window(time, size).alias("w"), *keys)
+def tumbling(events: DataFrame, time: str, size: str, keys: tuple[str, ...] = (), slide: str | None = None, **aggregates) -> DataFrame:
+    """Sums over windows of a fixed size, for streams and tables alike; with ``slide`` a new one begins that often."""
+    grouped = events.groupBy(F.window(time, size, slide).alias("w"), *keys)
     return grouped.agg(*(a.alias(n) for n, a in aggregates.items())).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *aggregates)
 
 

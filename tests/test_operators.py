@@ -1,5 +1,8 @@
 """Operators on small tables, and the places where SQL's rules are easily missed."""
 
+import datetime
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +172,51 @@ def test_range_join_of_large_keys(spark):
     points = sources.values(spark, [(1700000000,)], "p bigint")
     spans = sources.values(spark, [(1699999990, 1700000001, "a"), (1699999990, 1700000000, "b")], "low bigint, high bigint, s string")
     assert rows(op.range_join(points, spans, "p", "low", "high", 25).select("s")) == [("a",)]
+
+
+def test_range_join_loses_nothing(spark):
+    for low, step, width in ((10**9, 1, 25), (1_700_000_000_000, 500, 1000), (0, 0.25, 3)):
+        kind = "double" if isinstance(step, float) else "bigint"
+        points = sources.values(spark, [(low + step * i,) for i in range(60)], f"p {kind}")
+        edges = [(low + step * a, low + step * b, 7) for a in range(0, 40, 3) for b in (a, a + 1, a + 10)]
+        spans = sources.values(spark, edges, f"low {kind}, high {kind}, _bin int")
+        found = op.range_join(points, spans, "p", "low", "high", width)
+        assert found.columns == ["p", "low", "high", "_bin"]
+        assert sorted(map(tuple, found.collect())) == sorted((low + step * i, *e) for i in range(60) for e in edges if e[0] <= low + step * i < e[1])
+
+
+def test_sort_merge_join_is_planned(spark, sf_dir):
+    from larkspur.plans import registry
+
+    plan = registry.QUERIES["join_sort_merge"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_only_small_sides_are_sent(spark, monkeypatch):
+    from larkspur.operators import relational
+
+    nation, other = (spark.range(25).withColumnRenamed("id", k) for k in ("a", "b"))
+    plan = lambda: op.join(nation, other, F.col("a") == F.col("b"), small=True)._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(relational, "SENT_BYTES", 10)
+    assert "strategy=broadcast" not in plan()
+
+
+def test_gcd_and_whole_numbers(spark):
+    big = [(2**62, 2**40), (7540113804746346429, 4660046610375530309), (0, 0), (-12, 18), (1, 9), (9, 1), (6, 6), (None, 3)]
+    found = sources.values(spark, big, "a bigint, b bigint").select(functions.gcd(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in found] == [None if a is None else math.gcd(a, b) for a, b in big]
+    texts = sources.values(spark, [("12",), (" -7 ",), ("A",), ("",), (None,), ("99999999999",)], "t string")
+    assert [r[0] for r in texts.select(functions.whole_number(F.col("t"))).collect()] == [12, -7, None, None, None, None]
+
+
+def test_texts_against_worked_values(spark, tmp_path):
+    """Two of the query texts on rows whose results were worked out by hand."""
+    from larkspur.plans import tpch
+
+    at = datetime.datetime(1996, 3, 1)
+    items = [("A", "F", 10.0, 100.0, 0.05, 0.1, at), ("A", "F", 20.0, 300.0, 0.06, 0.0, at), ("N", "O", 30.0, 50.0, 0.0, 0.0, datetime.datetime(2001, 1, 1))]
+    sources.values(spark, items, "l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp_ntz").createOrReplaceTempView("lineitem")
+    found = spark.sql(tpch.TEXTS["tpch01"]).collect()
+    assert [tuple(r) for r in found] == [("A", "F", 30.0, 400.0, 377.0, 386.5, 15.0, 200.0, 0.055, 2)]
+    spark.catalog.dropTempView("lineitem")

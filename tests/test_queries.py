@@ -1,7 +1,7 @@
 """Each registered query against DuckDB."""
 
 import pytest
-from conftest import same_rows
+from comparing import same_rows
 
 from larkspur.plans import registry
 
