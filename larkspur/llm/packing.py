@@ -33,22 +33,21 @@ PLAN = "length bigint, low bigint, high bigint, sequence bigint, per bigint, pla
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Encodes (doc_id, text), appends ``end_id`` and cuts what is longer than the capacity; a shorter piece comes first."""
     tokenizer = tokenizer or tokens.default_path()
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer)
         for batch in batches:
-            rows = []
-            for at in range(0, batch.num_rows, 64):
-                for doc_id, ids in zip(batch.column(0).slice(at, 64).to_pylist(), encode(batch.column(1).slice(at, 64).to_pylist())):
-                    ids += end
-                    n, start, k = len(ids) // 4, 0, 0
-                    length = n % capacity if n % capacity else capacity
-                    while start < n:
-                        rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                        start, length, k = start + length, capacity, k + 1
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            found, ends = tokens.encoder(tokenizer).encode(batch.column(1))
+            found, ends = np.insert(found, ends, end_id), ends + np.arange(1, len(ends) + 1)
+            size = np.diff(ends, prepend=0)
+            many = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            first = size - (many - 1) * capacity  # the first piece takes what doesn't fill a sequence
+            length = np.where(piece, capacity, first[row])
+            start = np.where(piece, first[row] + (piece - 1) * capacity, 0)
+            place = (ends - size)[row] + start
+            sums = [zlib.crc32(found[a : a + n]) for a, n in zip(place.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return common.map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), cut, PIECES)
 

@@ -59,28 +59,27 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     an empty folder. Tasks that run again write the same rows.
     """
     tokenizer = tokenizer or tokens.default_path()
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, chunk, start = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row = {"part": part, "chunk": chunk, "doc_ids": ids, "lengths": [len(x) // 4 for x in held], "n_ids": size, "start": start, "planes": to_planes(b"".join(held), bits)}
+            row = {"part": part, "chunk": chunk, "doc_ids": ids, "lengths": [len(x) for x in held], "n_ids": size, "start": start, "planes": to_planes(np.concatenate(held).tobytes(), bits)}
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            columns = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, batch.num_rows, 64):
-                for doc_id, found in zip(columns[0][at : at + 64], tokens.encoder(tokenizer)(columns[1].slice(at, 64).to_pylist())):
-                    ids.append(doc_id)
-                    held.append(found + end)
-                    size += len(found) // 4 + 1
-                    if size >= CHUNK_IDS:
-                        yield flush()
-                        chunk, start, ids, held, size = chunk + 1, start + size, [], [], 0
+            found, ends = tokens.encoder(tokenizer).encode(batch.column(1))
+            found, ends = np.insert(found, ends, end_id), ends + np.arange(1, len(ends) + 1)
+            for doc_id, piece in zip(batch.column(0).to_pylist(), np.split(found, ends[:-1])):
+                ids.append(doc_id)
+                held.append(piece)
+                size += len(piece)
+                if size >= CHUNK_IDS:
+                    yield flush()
+                    chunk, start, ids, held, size = chunk + 1, start + size, [], [], 0
         if ids:
             yield flush()
 
@@ -90,7 +89,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     common.map_texts(dealt, encode, CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
     index = chunks.select("part", "chunk", F.col("doc_ids")[0].alias("first_doc_id"), F.size("doc_ids").alias("n_docs"), "n_ids", "start")
-    index.coalesce(1).write.parquet(f"{path}/index")
+    index.write.parquet(f"{path}/index")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -522,3 +522,29 @@ def test_hot_windows_go_to_no_shard(spark, monkeypatch):
     texts = [f"{rng.random()} {rng.random()} {passage} " + " ".join(str(rng.random()) for _ in range(30)) for _ in range(200)]
     found = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert table(found, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(((i, *w) for i, w in enumerate(brute_substrings(texts))), key=repr)
+
+
+def test_encoder_on_documents_and_odd_pieces(documents, monkeypatch):
+    """Whole documents of all languages, and texts of blanks, marks and added tokens in blocks of a few bytes."""
+    encode = tokens.Encoder(tokens.default_path())
+    texts = [r.text for r in documents.select("text").collect()]
+    for text, got in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library_ids(text)
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "\n\n", "\t", " \n", " ", "　", " ", "\x1c", "\x85", "᠎", "﻿", "a", "'s", "é", ",", "12", "x.", "<|endoftext|>", "<|", "日本", "'", "\x00", "Q!", "\r\n", "don't", "٣", "\U0001f642"]
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 64)
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None, "a b " * 300, "x" * 500]
+    for text, got in zip(made, encode(made), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library_ids(text), repr(text)
+
+
+def test_chunks_of_their_real_size(spark):
+    """A document of more ids than a chunk, between others."""
+    rng = random.Random(2)
+    texts = ["short", " ".join(str(rng.randrange(10**6)) for _ in range(150_000)), None, "end"]
+    path = common.new_path(spark, "large-tokens")
+    token_files.write(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), path)
+    found = token_files.read(spark, path).orderBy("doc_id").collect()
+    assert max(r.n_tokens for r in found) > token_files.CHUNK_IDS
+    for r, text in zip(found, texts, strict=True):
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*library_ids(text), 2]
