@@ -1,8 +1,10 @@
 """Secret scans: three base patterns, and assignment-aware lexing that adds what they miss.
 
-The lexer finds the assignments of source and configuration text (``name = "a" + "b"``, ``"name": "x"``, ``name: x``,
-``export NAME=x``), joins adjacent literals, and follows names that stand for an earlier literal. A literal counts as
-a secret if the name that it reaches is sensitive and the literal is neither short, a placeholder nor plain prose.
+The lexer reads source and configuration text as assignments: ``name = "a" + "b"``, ``"name": "x"``, ``name: x``,
+``export NAME=x``, ``<name>x</name>``, YAML and triple-quoted blocks, values on the next line. It knows comments,
+strings and brackets, and which literal a name stands for: a constant holds until it is assigned anew or its block
+ends (a line less indented, a closing brace); in comments, strings and calls none is defined. A literal counts as a
+secret if the name that it reaches is sensitive and the literal is neither short, a placeholder nor plain prose.
 """
 
 from __future__ import annotations
@@ -31,20 +33,28 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 
-SEPARATOR = re.compile(r":=|=>|[:=]")
-NAME = re.compile(r"""["']?([A-Za-z_$][\w.$-]{0,79})["']?\Z""", re.ASCII)
-LITERAL = r"""(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|([^\s"',;#(){}\[\]<>|&+]++))"""
-VALUE = re.compile(r"[ \t]*+" + LITERAL)
-MORE = re.compile(r"(?:\s|\\\r?\n)*+" + LITERAL)  # after a join
+#: Where the lexer stops: line ends, quotes, comments, brackets, separators.
+STOP = re.compile(r"""\n|["'`]|\#|//|/\*|--|:=|=>|[=:]|[{}()]""")
+NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$.-")
+STRING = re.compile(r"""(?s:\"""((?:[^"\\]++|\\.|"(?!""))*+)\"""|\'\'\'((?:[^'\\]++|\\.|'(?!''))*+)\'\'\'|`([^`]*+)`)|"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'""")
+PREFIX = re.compile(r"[rbfuRBFU]{1,2}(?=[\"'])")
+BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>|&+]++""")
+BLANK, BLANKS = re.compile(r"[ \t]*+"), re.compile(r"(?:\s|\\\r?\n)*+")
 JOIN = re.compile(r"(?:\s|\\\r?\n)*+(?:\+|\.\.)(?![=+])")
-NEXT = re.compile(r"[ \t]*+[:=](?!=)")
+NEXT = re.compile(r"[ \t]*+(?::=|=>|[:=](?![=:]))")
 BLOCK = re.compile(r"[ \t]*+[|>][-+\d]{0,2}[ \t]*+\r?\n")  # of YAML
 BLOCK_LINE = re.compile(r"([ \t]*+)([^\n]*+)(?:\n|\Z)")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>([^<>]++)</([A-Za-z_][\w.:-]*+)\s*>")
+SETTING = re.compile(r"""\b(?:key|name)[ \t]*+=[ \t]*+["']([\w.:-]++)["']\s++value[ \t]*+=[ \t]*+(?:"([^"\n]*+)"|'([^'\n]*+)')""")  # <add key="x" value="y"/>
+REFERENCE = re.compile(r"[A-Za-z_$][\w$.-]*+")
+ATTRIBUTE = re.compile(r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)+", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: How sensitive the words of a name are; two words that stand together count as one.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "authorization": 2, "auth": 2, "bearer": 2, "pin": 1, "pass": 2, "signature": 1}
 SENSITIVE_PAIRS = {("api", "key"), ("private", "key"), ("access", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("session", "key"), ("auth", "key"), ("account", "key"), ("client", "secret"), ("connection", "string")}
-PLACEHOLDER = re.compile(r"(?i)(?:change.?me|example|placeholder|dummy|sample|redacted|your[_-]|x{3}|\*{3}|\.{3}|none|null|nil|true|false|undefined|todo|test)\b|\$\{|<[^<>]*>|%\(|\{\{")
+#: Whole literals that stand for a secret, and words without anything else.
+PLACEHOLDER = re.compile(r"(?i)\W*(?:change.?me|example|placeholder|dummy|sample|redacted|none|null|nil|true|false|undefined|todo|test|secret|password|your[_ -].*|x{3,}|\*{3,}|\.{3,}|\$\{.*\}|<[^<>]*>|%\(.*\)s|\{\{.*\}\})[\W\d]*", re.DOTALL)
+PROSE = re.compile(r"[^\W\d_]+['’]?[^\W\d_]*[.,;:!?]?(?:\s+[^\W\d_]+['’]?[^\W\d_]*[.,;:!?]?){4,}\s*")
 LEAST_CHARS, LEAST_SCORE = 8, 4.0
 
 
@@ -73,7 +83,7 @@ def entropy(value: str) -> float:
 
 def literal_score(value: str) -> float:
     """Up to 3 for a literal that looks random; below 0 for one that can't be a secret."""
-    if len(value) < LEAST_CHARS or PLACEHOLDER.search(value) or value.count(" ") > 3:
+    if len(value) < LEAST_CHARS or PLACEHOLDER.fullmatch(value) or PROSE.fullmatch(value):
         return -9.0
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() and c != " " for c in value)
     return min(2.0, entropy(value) / 2) + (classes - 1) / 3
@@ -95,51 +105,184 @@ def block_spans(text: str, at: int, place: int) -> list[tuple[int, int]]:
     return found
 
 
+Span = tuple[int, int]
+
+
+class Constants:
+    """The literals that names stand for, in nested blocks. None: a name whose value isn't a literal."""
+
+    def __init__(self):
+        self.of: dict[str, list[tuple[int, int, list[Span] | None]]] = {}
+        self.open: list[tuple[int, int, str]] = []  # indent, braces, name, innermost last
+
+    def define(self, name: str, indent: int, braces: int, spans: list[Span] | None) -> None:
+        held = self.of.setdefault(name, [])
+        if held and held[-1][:2] == (indent, braces):
+            held[-1] = (indent, braces, spans)
+        else:
+            held.append((indent, braces, spans))
+            self.open.append((indent, braces, name))
+
+    def leave(self, indent: int, braces: int) -> None:
+        """Ends the blocks that lie deeper."""
+        while self.open and (self.open[-1][0] > indent or self.open[-1][1] > braces):
+            self.of[self.open.pop()[2]].pop()
+
+    def known(self, name: str) -> bool:
+        return bool(self.of.get(name))
+
+    def get(self, name: str) -> list[Span] | None:
+        held = self.of.get(name)
+        return held[-1][2] if held else None
+
+
+def _name_before(text: str, at: int) -> tuple[str, int]:
+    """The name, quoted or not, that ends before a separator, and its start."""
+    end = at
+    while end and text[end - 1] in " \t":
+        end -= 1
+    quote = text[end - 1] if end and text[end - 1] in "\"'" else ""
+    end -= len(quote)
+    start = end
+    while start and text[start - 1] in NAME_CHARS:
+        start -= 1
+    if quote and text[start - 1 : start] != quote:
+        return "", at
+    while start < end and text[start] in "0123456789.-":  # where a name can't start
+        start += 1
+    return text[start:end], start - len(quote)
+
+
+def _value(text: str, place: int, constants: Constants, nested: bool, run: list[int]) -> tuple[list[Span], bool, bool, int]:
+    """What stands behind a separator that ends at ``place``: the spans of its literals, whether it is made of
+    literals only, whether one of them is quoted or a constant's, and where it ends. ``run`` is the last bare run."""
+    found: list[Span] = []
+    literal, sure = True, False
+    joined = 0
+    while True:
+        if joined or nested:
+            start = BLANKS.match(text, place).end()
+        else:
+            start = BLANK.match(text, place).end()
+            line = BLANKS.match(text, start).end()
+            if text[start : start + 1] in ("\n", "\\", "\r") and STRING.match(text, line):
+                start = line  # a literal on the next line
+        if text[start : start + 1] == "(" and not found:
+            nested, place = True, start + 1
+            continue
+        if prefix := PREFIX.match(text, start):
+            start = prefix.end()
+        if string := STRING.match(text, start):
+            group = string.lastindex
+            found.append(string.span(group))
+            place, sure = string.end(), True
+            after = (BLANKS if nested else BLANK).match(text, place).end()
+            if text[after : after + 1] in ('"', "'") and STRING.match(text, after) and not NEXT.match(text, STRING.match(text, after).end()):
+                place, joined = after, joined or 1  # strings that stand side by side
+                continue
+        elif run[0] <= start < run[1] or (bare := BARE.match(text, start)):
+            if not run[0] <= start < run[1]:
+                run[:] = bare.span()
+            end = run[1]
+            if joined and NEXT.match(text, end) and "\n" in text[joined:start]:
+                return found, literal, sure, joined  # the next line's own name, as in a patch
+            place = end
+            if text[place : place + 1] in ("(", "["):
+                return found, False, sure, place  # a call or an item
+            while end > start and text[end - 1] in ".:":
+                end -= 1
+            word = REFERENCE.match(text, start)
+            word = word[0].rstrip(".") if word and word.end() >= end else ""
+            if (spans := constants.get(word)) is not None:
+                found += spans
+                sure = True
+            elif word and (constants.known(word) or ATTRIBUTE.fullmatch(word) or joined):
+                literal = False
+            elif end > start:
+                found.append((start, end))
+        else:
+            return found, literal and bool(found), sure, place
+        more = JOIN.match(text, place)
+        if not more:
+            return found, literal, sure, place
+        joined, place = place, more.end()
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """The literals (start, end, "lexed") that reach sensitive names."""
-    if "=" not in text and ":" not in text:
-        return []
-    known: dict[str, list[tuple[int, int]]] = {}  # the literals behind a name
     found = set()
-    done = 0
-    for mark in SEPARATOR.finditer(text):
-        at, after = mark.span()
-        if at < done or text[at - 1 : at] in "=!<>" and at or text[after : after + 1] == "=":
-            continue
-        end = at
-        while end and text[end - 1] in " \t":
-            end -= 1
-        if not (name := NAME.search(text[max(0, end - 96) : end])):
-            continue
-        spans: list[tuple[int, int]] = []
-        place, literal = after, True
-        while value := (MORE if spans else VALUE).match(text, place):
-            group = value.lastindex
-            if spans and group == 3 and "\n" in text[value.start() : value.start(3)] + text[joined:place] and NEXT.match(text, value.end()):
-                break  # the next line's own name, as in a patch
-            start, stop = value.span(group)
-            bare = value[group].rstrip(".")
-            if group == 3 and bare in known:
-                spans += known[bare]
-            elif group < 3 or not spans:
-                spans.append((start, start + len(bare) if group == 3 else stop))
-                literal = literal and group < 3
-            place = value.end()
-            if not (more := JOIN.match(text, place)):
-                break
-            joined, place = place, more.end()
-        if not spans and text[at] == ":" and (block := BLOCK.match(text, after)):
-            place = block.end()
-            spans = block_spans(text, at, place)
-        if not spans:
-            continue
-        done = place if literal else done
-        whole = "".join(text[a:b] for a, b in spans)
-        if literal or len(spans) > 1 or spans[0][0] < at:
-            known[name[1]] = list(dict.fromkeys(spans))
-        weight = sensitivity(name[1])
-        if weight and weight + literal_score(whole) >= LEAST_SCORE:
-            found |= {(a, b, "lexed") for a, b in spans if b > a}
+
+    def judge(name: str, spans: list[Span]) -> None:
+        weight = sensitivity(name)
+        if weight and spans and weight + literal_score("".join(text[a:b] for a, b in spans)) >= LEAST_SCORE:
+            found.update((a, b, "lexed") for a, b in spans if b > a)
+
+    if "</" in text or "value" in text:
+        for m in ELEMENT.finditer(text):
+            inner = m[2].strip()
+            if m[1] == m[3] and inner:
+                start = m.start(2) + m[2].index(inner)
+                judge(m[1], [(start, start + len(inner))])
+        for m in SETTING.finditer(text):
+            judge(m[1], [m.span(m.lastindex)])
+    if "=" not in text and ":" not in text:
+        return sorted(found)
+    constants = Constants()
+    place = quoted = remark = braces = brackets = 0  # where a string and a comment end; how deep it is
+    indent, run = BLANK.match(text).end(), [-1, -1]
+    while stop := STOP.search(text, place):
+        sign, (at, place) = stop[0], stop.span()
+        if sign == "\n":
+            begin = BLANK.match(text, place).end()
+            if text[begin : begin + 1] not in ("\n", "\r", "", "#") and at >= quoted:
+                indent = begin - place
+                brackets = brackets if indent else 0
+                constants.leave(indent, braces)
+        elif sign in "\"'`":
+            if at < quoted or sign != '"' and at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+                continue  # inside a string, or an apostrophe
+            if string := STRING.match(text, at):
+                quoted = string.end()
+                place = string.start(string.lastindex)
+                if NEXT.match(text, quoted):
+                    place = quoted  # a quoted name
+        elif sign in ("#", "//", "--", "/*"):
+            if at < quoted or at < remark:
+                continue
+            before, after = text[at - 1 : at], text[place : place + 1]
+            if sign == "/*":
+                end = text.find("*/", place)
+                remark = end if end >= 0 else len(text)
+            elif sign == "//" and before != ":" or sign == "#" and (not before or before.isspace()) or sign == "--" and (not before or before.isspace()) and after.isspace():
+                end = text.find("\n", place)
+                remark = end if end >= 0 else len(text)
+        elif sign in "{}()":
+            if at >= quoted and at >= remark:
+                braces = max(0, braces + (sign == "{") - (sign == "}"))
+                brackets = max(0, brackets + (sign == "(") - (sign == ")"))
+                constants.leave(indent if sign != "}" else 1 << 60, braces)
+        elif at and text[at - 1] in "=!<>:" or text[place : place + 1] in ("=", ":"):
+            place += text[place : place + 1] in ("=", ":")
+        else:
+            name, start = _name_before(text, at)
+            if not name:
+                continue
+            spans, literal, sure, end = _value(text, place, constants, brackets > 0 and at >= quoted, run)
+            if sign == ":" and not sure and (more := NEXT.match(text, end)) and "\n" not in text[at:end] and text[more.end() - 1] == "=":
+                place = end  # a type stands between the name and its value
+                spans, literal, sure, end = _value(text, more.end(), constants, False, run)
+            if not spans and sign == ":" and (block := BLOCK.match(text, place)):
+                end = block.end()
+                spans = block_spans(text, at, end)
+                literal = bool(spans)
+            if at < quoted:  # inside a string: its own end ends the value
+                spans = [x for x in spans if x[1] <= quoted and x[0] >= place]
+                literal = False
+            judge(name, spans)
+            if at >= quoted and at >= remark and not brackets and sign != "=>":
+                constants.define(name, indent, braces, list(dict.fromkeys(spans)) if literal and spans else None)
+            if spans and sensitivity(name):
+                place = max(place, end if at >= quoted else min(end, quoted))  # else the strings are looked into
     return sorted(found)
 
 
