@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
 Slot i of the schedule has the golden-ratio point i * STEP mod CELLS * CELL, which falls into one source's share of the
-cumulative weights; the k-th slot of a source draws the k-th of its equal-token blocks. A source's documents lie in
-shuffled order on a line of words that runs through twice, so a block is a piece of that line.
+cumulative weights; the k-th slot of a source draws the k-th of its blocks. Blocks hold SLOT_WORDS words, in all
+sources alike: a source's documents lie in shuffled order on a line of words that runs through twice, and a block is a
+piece of that line. There are as many slots as blocks; only a source's last block is trimmed, to its target.
 """
 
 from __future__ import annotations
@@ -48,33 +49,43 @@ def sources(docs: DataFrame) -> DataFrame:
     shared = (F.col("weight") * (SHARE[0] * F.col("all_words") - SHARE[1] * full_caps)).cast("double") / (SHARE[1] * open_weight).cast("double")
     ranked = ranked.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(shared)).withColumn("goal", F.floor("target").cast("bigint"))
     line = every.orderBy("mix_key")
-    all_goals = F.greatest(F.sum("goal").over(every), F.lit(1)).cast("double")
-    upto = F.floor(F.sum("goal").over(line.rowsBetween(Window.unboundedPreceding, 0)) / all_goals * POINTS).cast("bigint")
-    ranked = ranked.withColumn("high", upto).withColumn("low", F.coalesce(F.lag("high").over(line), F.lit(0)))
-    return ranked.select("mix_key", "source_size", "target", "goal", "low", "high", F.sum("goal").over(every).alias("all_goals"))
+    ranked = ranked.withColumn("need", F.ceil(F.col("goal") / SLOT_WORDS).cast("bigint"))
+    all_need = F.sum("need").over(every)
+    share = F.sum("need").over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("double") / F.greatest(all_need, F.lit(1)).cast("double")
+    ranked = ranked.withColumn("high", F.floor(share * POINTS).cast("bigint")).withColumn("low", F.coalesce(F.lag("high").over(line), F.lit(0)))
+    return ranked.select("mix_key", "source_size", "target", "goal", "need", "low", "high", all_need.alias("all_need"))
+
+
+def _ranked(slots: DataFrame) -> DataFrame:
+    """Adds to ``slots`` (mix_key, run, slot) the rank k among those of the source; ranks are counted run by run."""
+    before = Window.partitionBy("mix_key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slots.groupBy("mix_key", "run").count().select("mix_key", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("mix_key", "run").orderBy("slot")) - 1
+    return slots.withColumn("r", rank).join(offsets, ["mix_key", "run"]).select("mix_key", "run", "slot", (F.col("r") + F.col("ahead")).cast("bigint").alias("k"))
 
 
 def schedule(found: DataFrame) -> DataFrame:
-    """The slots (mix_key, k, slot): the k-th draw of a source stands at this slot of the mix.
+    """The slots (mix_key, k, slot) of ``sources``: the k-th block of a source stands at this slot of the mix.
 
-    A source whose share is too small for any point gets one slot after all others.
+    The points give a source nearly as many slots as it has blocks; the few that some have too many (their last ones)
+    go to those that have too few.
     """
     cells = POINTS // CELLS
     shares = found.where("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / cells), F.floor((F.col("high") - 1) / cells))))
-    n_slots = found.agg(F.coalesce(F.ceil(F.max("all_goals") / SLOT_WORDS), F.lit(0)).cast("bigint").alias("n"))
+    n_slots = found.agg(F.coalesce(F.max("all_need"), F.lit(0)).alias("n"))
     # runs of slots are made from one row, then dealt out
     runs = n_slots.where("n > 0").select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SLOT_RUN))).alias("run")).repartition("run")
     slots = runs.select("run", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least((F.col("run") + 1) * SLOT_RUN, F.col("n")) - 1)).alias("slot"))
     slots = slots.withColumn("point", F.col("slot") % POINTS * STEP % POINTS).withColumn("cell", F.floor(F.col("point") / cells))
     drawn = slots.join(shares.select("mix_key", "low", "high", "cell"), "cell").where("point >= low AND point < high").select("mix_key", "run", "slot")
-    before = Window.partitionBy("mix_key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = drawn.groupBy("mix_key", "run").count().select("mix_key", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("mix_key", "run").orderBy("slot")) - 1
-    ranked = drawn.withColumn("r", rank).join(offsets, ["mix_key", "run"]).select("mix_key", (F.col("r") + F.col("ahead")).cast("bigint").alias("k"), "slot")
-    missed = found.where("goal > 0").join(ranked.select("mix_key").distinct(), "mix_key", "left_anti")
-    last = n_slots.select(F.col("n").alias("first"))
-    extra = missed.select("mix_key", F.lit(0).cast("bigint").alias("k")).join(F.broadcast(last)).select("mix_key", "k", (F.col("first") + F.row_number().over(Window.orderBy("mix_key")) - 1).alias("slot"))
-    return ranked.union(extra)
+    drawn = common.keep(_ranked(drawn).join(found.select("mix_key", "need"), "mix_key"), "drawn")
+    spare = drawn.where("k >= need").select("run", "slot", (F.row_number().over(Window.orderBy("slot")) - 1).alias("j"))
+    got = drawn.groupBy("mix_key").agg(F.count("*").alias("got"))
+    short = found.join(got, "mix_key", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
+    lacking = short.select("mix_key", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("k"))
+    lacking = lacking.select("mix_key", (F.row_number().over(Window.orderBy("mix_key", "k")) - 1).alias("j"))
+    given = spare.join(lacking, "j").select("mix_key", "run", "slot")  # a few for each source: the points' discrepancy
+    return _ranked(drawn.where("k < need").select("mix_key", "run", "slot").union(given)).select("mix_key", "k", "slot")
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -102,47 +113,46 @@ def draws(docs: DataFrame) -> DataFrame:
     """The mix of ``docs`` (doc_id, size, source, tag): a row for each stretch of a document that a slot draws.
 
     Columns: mix_key, r, doc_id, size, tag, source_size, target, slot (null where nothing of the document is drawn), epoch,
-    first, after: the words [first, after) of the document. Blocks of a source hold goal / draws words each, so
-    that its draws end at its target; a block may end within a document. A document without words is never drawn.
+    first, after: the words [first, after) of the document. A block may end within a document. A document without
+    words is never drawn.
     """
     docs = common.keep(docs.select("doc_id", "size", "tag", source_key(F.col("source")).alias("mix_key")), "sizes")  # the texts are read once
     found = common.keep(sources(docs), "sources")
     slots = common.keep(schedule(found), "schedule")
-    n_draws = slots.groupBy("mix_key").agg(F.count("*").alias("draws"))
-    lined = placed(docs).join(found.join(n_draws, "mix_key", "left").select("mix_key", "source_size", "target", "goal", "draws"), "mix_key")
+    lined = placed(docs).join(found.select("mix_key", "source_size", "target", "goal"), "mix_key")
     # [at, end) is the document on the line of words in one epoch, as far as the target reaches
     lined = lined.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
     lined = lined.withColumn("at", F.col("a") + F.col("epoch") * F.col("source_size")).withColumn("end", F.least(F.col("at") + F.col("size"), F.col("goal")))
     lined = lined.where("epoch = 0 OR at < end")
-    # block k of a source is [ceil(k * goal / draws), ceil((k + 1) * goal / draws)), so word w lies in block floor(w * draws / goal)
-    block = lambda word: F.expr(f"CAST(floor(CAST({word} AS DECIMAL(38, 0)) * draws / goal) AS BIGINT)")
-    edge = lambda k: F.expr(f"CAST(ceil(CAST({k} AS DECIMAL(38, 0)) * goal / draws) AS BIGINT)")
-    lined = lined.withColumn("k", F.explode_outer(F.when(F.col("at") < F.col("end"), F.sequence(block("at"), block("(end - 1)")))))
-    pieces = lined.withColumn("first", F.greatest(F.col("at"), edge("k")) - F.col("at")).withColumn("after", F.least(F.col("end"), edge("(k + 1)")) - F.col("at"))
+    block = lambda word: F.floor(word / SLOT_WORDS).cast("bigint")
+    lined = lined.withColumn("k", F.explode_outer(F.when(F.col("at") < F.col("end"), F.sequence(block(F.col("at")), block(F.col("end") - 1)))))
+    pieces = lined.withColumn("first", F.greatest("at", F.col("k") * SLOT_WORDS) - F.col("at")).withColumn("after", F.least("end", (F.col("k") + 1) * SLOT_WORDS) - F.col("at"))
     return pieces.join(slots, ["mix_key", "k"], "left").select("mix_key", "r", "doc_id", "size", "tag", "source_size", "target", "slot", "epoch", "first", "after")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """A row for each document: mix_key, r, doc_id, size, source_size, target and the words that the mix takes."""
+    """A row for each document: mix_key, r, doc_id, size, source_size, target, the words that the mix takes, the first
+    slot that draws the document (null: none) and how many draws there are."""
     words = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("after") - F.col("first"))), F.lit(0)).cast("bigint")
-    return draws(docs).groupBy("mix_key", "r", "doc_id", "size", "source_size", "target").agg(words.alias("taken"))
+    found = draws(docs).groupBy("mix_key", "r", "doc_id", "size", "source_size", "target")
+    return found.agg(words.alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Mixes the rows of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
+    """Mixes the rows of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, first_slot, n_slots.
 
     A null text has size 0; a null source is a source of its own, last. Rows with equal doc_id count as documents
     of their own. Other columns are not used. An empty table gives no rows; where no text has words, targets are 0.
     """
     sized = docs.select("doc_id", size(F.col("text")).alias("size"), "source", F.lit(0).alias("tag"))
-    return taken(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(sized).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(common.load(spark, sf_dir, "documents"))
 
 
-#: The same numbers without slots and blocks: a source's draws cover its line of words up to the target.
+#: The same schedule and draws; documents of one source with equal MD5s don't occur.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -159,8 +169,23 @@ t AS (
   SELECT k, source_size, CASE WHEN full_ THEN cap::DOUBLE ELSE
     (w * (3 * total - 2 * coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0)))::DOUBLE / (2 * sum(CASE WHEN NOT full_ THEN w END) OVER ())::DOUBLE END AS target
   FROM f),
-l AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY k ORDER BY md5(doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(a + size, floor(target)::BIGINT) - a) + greatest(0, least(source_size + a + size, floor(target)::BIGINT) - source_size - a))::BIGINT AS taken
-FROM l JOIN t USING (k)
+g AS (SELECT *, floor(target)::BIGINT AS goal, (floor(target)::BIGINT + 4095) // 4096 AS need FROM t),
+h AS (SELECT *, floor((sum(need) OVER (ORDER BY k))::DOUBLE / greatest(sum(need) OVER (), 1)::DOUBLE * 2147483648)::BIGINT AS high FROM g),
+q AS (SELECT *, coalesce(lag(high) OVER (ORDER BY k), 0) AS low FROM h),
+i AS (SELECT unnest(range(0, (SELECT coalesce(sum(need), 0)::BIGINT FROM g))) AS slot),
+p AS (SELECT k, need, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS b
+      FROM i JOIN q ON (slot::HUGEINT * 1327217885 % 2147483648)::BIGINT >= low AND (slot::HUGEINT * 1327217885 % 2147483648)::BIGINT < high),
+spare AS (SELECT slot, row_number() OVER (ORDER BY slot) AS j FROM p WHERE b >= need),
+got AS (SELECT k, count(*) AS n FROM p GROUP BY k),
+lack AS (SELECT k, row_number() OVER (ORDER BY k, b) AS j FROM (SELECT k, unnest(range(coalesce(n, 0), need)) AS b FROM g LEFT JOIN got USING (k))),
+plan AS (SELECT k, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS b
+         FROM (SELECT k, slot FROM p WHERE b < need UNION ALL SELECT k, slot FROM lack JOIN spare USING (j))),
+l AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY k ORDER BY md5(doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d),
+e AS (SELECT doc_id, size, source_size, target, k, a + epoch * source_size AS first, least(a + epoch * source_size + size, goal) AS after
+      FROM l JOIN g USING (k), (VALUES (0), (1)) AS r(epoch)),
+m AS (SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, any_value(k) AS k,
+             sum(greatest(0, after - first))::BIGINT AS taken, min(first // 4096) FILTER (WHERE first < after) AS b,
+             coalesce(sum((after - 1) // 4096 - first // 4096 + 1) FILTER (WHERE first < after), 0)::BIGINT AS n_slots
+      FROM e GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, taken, slot AS first_slot, n_slots FROM m LEFT JOIN plan USING (k, b)
 """

@@ -548,3 +548,28 @@ def test_chunks_of_their_real_size(spark):
     assert max(r.n_tokens for r in found) > token_files.CHUNK_IDS
     for r, text in zip(found, texts, strict=True):
         assert np.frombuffer(r.ids, "<u4").tolist() == [*library_ids(text), 2]
+
+
+def test_mixing_follows_the_points(spark, documents, duck, monkeypatch):
+    """Another multiplier gives other slots, in equal blocks, and the same words of each source."""
+    rows = lambda: sorted(map(tuple, mixing.mix_documents(documents).select("doc_id", "source_size", "taken", "first_slot", "n_slots").collect()))
+    monkeypatch.setattr(mixing, "SLOT_WORDS", 512)
+    one = rows()
+    assert one == rows()
+    monkeypatch.setattr(mixing, "STEP", 1327217885 // 3 | 1)
+    two = rows()
+    assert [r[:3] for r in one] == [r[:3] for r in two] and [r[3] for r in one] != [r[3] for r in two]
+    sized = documents.select("doc_id", mixing.size(F.col("text")).alias("size"), "source", F.lit(0).alias("tag"))
+    held, of = collections.Counter(), {}
+    for r in mixing.draws(sized).where("slot IS NOT NULL").collect():
+        held[r.slot] += r.after - r.first
+        of.setdefault(r.slot, set()).add(r.mix_key)
+    assert sorted(held) == list(range(len(held))) and all(len(x) == 1 for x in of.values())
+    assert sum(n != 512 for n in held.values()) <= len({k for x in of.values() for k in x}) and max(held.values()) == 512
+
+
+def test_mixing_agrees_with_sql(spark, sf_dir, duck):
+    found = queries.QUERIES["op2_mix_sources"](spark, sf_dir)
+    wanted = duck.execute(queries.ORACLES["op2_mix_sources"])
+    assert found.columns == [c[0] for c in wanted.description]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted.fetchall())
