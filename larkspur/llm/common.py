@@ -24,8 +24,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one on a
+    local master; on a cluster executors wouldn't see it, so that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or _own_folder()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -62,7 +66,7 @@ def words(text: Column) -> Column:
 
 
 def components(links: DataFrame, limit: int = 64) -> DataFrame:
-    """Connected components of ``links`` (a, b: bigint): rows (node, component), component the smallest node reachable.
+    """Connected components of ``links`` (a, b of one type that can be ordered): rows (node, component), component the smallest node reachable.
 
     Alternates two groupings: each node hands its larger neighbours, then its smaller ones, to the smallest that it
     knows, until every node hangs on the least node of its component. Each round groups with a map-side minimum and

@@ -573,3 +573,16 @@ def test_mixing_agrees_with_sql(spark, sf_dir, duck):
     wanted = duck.execute(queries.ORACLES["op2_mix_sources"])
     assert found.columns == [c[0] for c in wanted.description]
     assert sorted(map(tuple, found.collect())) == sorted(wanted.fetchall())
+
+
+def test_lines_with_one_hash_stay_apart(spark, monkeypatch):
+    """Where all 64-bit hashes of segments and lines meet, only lines one edit apart are linked."""
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *x: F.pmod(real(*x), F.lit(3)))
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefg ") for _ in range(40)) for _ in range(30)]
+    texts = base + ["z" + x[1:] for x in base[:5]]
+    table_ = spark.createDataFrame([(hashlib.md5(x.encode()).digest(), x) for x in texts], "a binary, line string")
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in lines.near_links(table_).collect()}
+    digest = lambda x: hashlib.md5(x.encode()).digest()
+    assert found == {frozenset((digest(x), digest("z" + x[1:]))) for x in base[:5]}
