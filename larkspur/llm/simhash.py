@@ -1,10 +1,11 @@
 """SimHash near-duplicates: fingerprints of whole texts, linked by a Gray-order hierarchical index.
 
-Fingerprints within ``distance`` bits agree on all of some choice of blocks when their bits are cut into more blocks
-than that; such agreeing blocks are the index's uppermost level and deal the distinct fingerprints out to tasks.
-In each such group fingerprints are sorted by Gray rank, so neighbours share bits. Runs of them make nodes, which
-hold the bits that all below them share; a search adds up the differences on the bits that each level newly fixes and
-drops a whole group as soon as they are too many, or where all below is linked to the searching one already.
+Fingerprints within ``distance`` bits agree on some block when their bits are cut into more blocks than that, so a few
+bits of a block deal them out to tasks: only as many bits as leave some thousands of them together, however many
+there are. In each such group fingerprints are sorted by Gray rank, so neighbours share bits. Runs of them make nodes,
+level by level up to one, which hold the bits that all below them share; a search adds up the differences on the bits
+that each level newly fixes and drops a whole node as soon as they are too many, or where all below is linked to the
+searching one already.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ FAN_OUT = 16
 GROUP_ROWS = 20_000  # a larger group is compared chunk by chunk
 TASK_ROWS = 500_000  # rows whose groups are searched together
 PAIRS = 2_000_000  # comparisons at a time, at most about
-#: With more fingerprints, keys of more bits: (up to so many, blocks).
-BLOCKS = ((20_000_000, 5), (5_000_000_000, 6), (float("inf"), 7))
+TREE_CODES = 4096  # fingerprints of one index, about: the bits that deal them out follow from it
+#: A block has too few bits for that beyond so many fingerprints; then agreement on two or three deals them out.
+BLOCKS = ((1 << 24, 5), (1 << 33, 6), (float("inf"), 7))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -69,8 +71,11 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def linked(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, fan_out: int = FAN_OUT) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect exactly what lies within ``distance`` bits in the same group, at most one for each code."""
+def linked(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, fan_out: int = FAN_OUT, tally: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect exactly what lies within ``distance`` bits in the same group, at most one for each code.
+
+    ``tally`` counts levels, nodes (visited), pruned (of these) and compared (pairs of fingerprints).
+    """
     order = np.lexsort((gray_rank(codes), groups))
     groups, codes = groups[order], codes[order]
     n = len(codes)
@@ -98,6 +103,8 @@ def linked(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, fan_
     for at, level in enumerate(levels):
         level["last"] = last if at == 0 else levels[at - 1]["last"][level["stop"] - 1]
 
+    tally = {} if tally is None else tally
+    tally |= {"levels": len(levels), "nodes": 0, "pruned": 0, "compared": 0}
     labels = Labels(n)
     cost = np.cumsum(group_size[group_of].astype(np.int64))
     at = 0
@@ -114,10 +121,13 @@ def linked(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, fan_
             level = levels[depth]
             seen = seen + np.bitwise_count((codes[query] ^ level["bits"][node]) & level["fresh"][node])
             keep = (seen <= distance) & (level["last"][node] > query) & (level["label"][node] != labels.of[query])
+            tally["nodes"] += len(keep)
+            tally["pruned"] += len(keep) - int(keep.sum())
             query, node, seen = query[keep], node[keep], seen[keep]
             width = level["stop"][node] - level["start"][node]
             below = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(level["start"][node], width)
             query, seen, node = np.repeat(query, width), np.repeat(seen, width), below
+        tally["compared"] += len(node)
         near = (node > query) & (np.bitwise_count(codes[query] ^ codes[node]) <= distance)
         labels.link(query[near], node[near])
         at = stop
@@ -147,15 +157,26 @@ def _search(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         yield links(*(np.concatenate(x) for x in zip(*held)))
 
 
+def deal_masks(n: int, distance: int = DISTANCE) -> list[int]:
+    """For n fingerprints, the bits by which each choice of agreeing blocks deals them out."""
+    blocks = next(b for most, b in BLOCKS if n <= most) + distance - DISTANCE
+    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    wanted = max(0, (n // TREE_CODES).bit_length() - 1)
+    if not wanted:
+        return [0]
+    masks = []
+    for chosen in combinations(range(blocks), blocks - distance):
+        spread = [wanted // len(chosen) + (i < wanted % len(chosen)) for i in range(len(chosen))]
+        masks.append(sum(((1 << min(k, cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i, k in zip(chosen, spread)))
+    return masks
+
+
 def near_links(codes: DataFrame, distance: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) that connect all within ``distance`` bits. ``codes``: a kept table.
 
     A group too large for a task is cut into chunks by hash, and each pair of its chunks is a group of its own.
     """
-    n = codes.count()
-    blocks = next(b for most, b in BLOCKS if n <= most)
-    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
+    masks = deal_masks(codes.count(), distance)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed))))
     rows = codes.select("fp", keys.alias("g")).select("fp", "g.choice", "g.key")

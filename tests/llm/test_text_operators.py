@@ -586,3 +586,31 @@ def test_lines_with_one_hash_stay_apart(spark, monkeypatch):
     found = {frozenset((bytes(r.a), bytes(r.b))) for r in lines.near_links(table_).collect()}
     digest = lambda x: hashlib.md5(x.encode()).digest()
     assert found == {frozenset((digest(x), digest("z" + x[1:]))) for x in base[:5]}
+
+
+def test_gray_index_drops_whole_nodes(spark):
+    """20,000 fingerprints in a single index: links against brute force, several levels, and most nodes pruned."""
+    rng = np.random.default_rng(12)
+    codes = rng.integers(0, 1 << 63, 19_000).astype(np.uint64)
+    flips = [np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False))) for _ in range(1000)]
+    codes = np.unique(np.r_[codes, codes[:1000] ^ np.array(flips)])
+    tally = {}
+    a, b = simhash.linked(np.zeros(len(codes), np.int64), codes, tally=tally)
+    wanted = simhash.Labels(len(codes))
+    for at in range(0, len(codes), 500):
+        i, j = np.nonzero(np.bitwise_count(codes[at : at + 500, None] ^ codes[None]) <= 4)
+        wanted.link(i + at, j)
+    got = simhash.Labels(len(codes))
+    got.link(np.searchsorted(codes, a), np.searchsorted(codes, b))
+    assert (got.of == wanted.of).all() and (got.of != np.arange(len(codes))).sum() > 300
+    assert tally["levels"] >= 4 and tally["pruned"] > tally["nodes"] / 2 and tally["compared"] < 0.5 * len(codes) ** 2 / 2
+    for n in (10, 9_000, 1 << 20):  # the bits that deal out leave thousands together, and keep what is near together
+        masks = simhash.deal_masks(n)
+        assert all(n >> m.bit_count() >= min(n, simhash.TREE_CODES) for m in masks)
+        for x in flips:
+            assert x.bit_count() > 4 or any(int(x) & m == 0 for m in masks)
+    few = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp bigint").cache()
+    found = simhash.near_links(few).collect()
+    spread = simhash.Labels(len(codes))
+    spread.link(*(np.searchsorted(codes, np.array([r[k] for r in found], np.int64).view(np.uint64)) for k in (0, 1)))
+    assert (spread.of == wanted.of).all()
