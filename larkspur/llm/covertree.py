@@ -4,7 +4,9 @@ On vectors of length one, a cosine of at least c is a distance of at most sqrt(2
 (pivots from a bounded sample, farthest first) deals distinct vectors out to cells; a vector visits the other cells
 whose covering radius and bisecting plane let a link through. In a cell, members and visitors each make a cover tree
 of nested nodes with halving radii, and node pairs are dropped when their centres are farther apart than the threshold
-and both covering radii, or linked as a whole when even the farthest of them are near enough.
+and both covering radii, or linked as a whole when even the farthest of them are near enough. Pairs of leaves are
+compared in a few leading directions of the sample first, with what is left of each vector as one more component:
+distances there are never longer than the true ones, so that only pairs within reach are verified on whole vectors.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from larkspur.llm.labels import Labels
 
 COSINE = 0.9
 LEAF, CENTRES = 64, 48
-CELL_ROWS = 2048  # of members that a task holds
+CELL_ROWS, CELL_BYTES = 2048, 1 << 22  # of members that a task holds: so many rows, or more if they are short
+DIRECTIONS, BASIS_ROWS = 24, 2048
 PIVOTS, SAMPLE_ROWS = 1024, 8192  # at most
 BATCH_ROWS = 4096  # of visitors at a time
 SLACK = 1e-6  # above the rounding of distances that come from cosines
@@ -74,7 +77,20 @@ def build(x: np.ndarray) -> Node:
     return top
 
 
-def traverse(x: np.ndarray, tree: Node, y: np.ndarray, other: Node, cosine: float):
+def basis(sample: np.ndarray) -> np.ndarray:
+    """The leading directions (as columns) of a sample of unit vectors: orthonormal, at most DIRECTIONS."""
+    return np.linalg.svd(sample[:BASIS_ROWS], full_matrices=False)[2][:DIRECTIONS].T
+
+
+def shadow(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Unit vectors in those directions and, as a last component, the length of the rest: unit vectors again, whose
+    products are never below those of the vectors themselves."""
+    short = x @ directions
+    rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", short, short), 0))
+    return np.c_[short, rest].astype(np.float32)
+
+
+def traverse(x: np.ndarray, tree: Node, y: np.ndarray, other: Node, cosine: float, x_shadow: np.ndarray, y_shadow: np.ndarray):
     """Yields (a, b, near): rows of x and y and which of their pairs are linked (None: all). With tree is other, a
     pair of rows of one node comes both ways round."""
     reach = float(np.sqrt(2 - 2 * cosine))
@@ -89,11 +105,13 @@ def traverse(x: np.ndarray, tree: Node, y: np.ndarray, other: Node, cosine: floa
         elif not a.children and not b.children:
             for at in range(0, len(a.rows), 1024):
                 rows = a.rows[at : at + 1024]
-                rough = x[rows].astype(np.float32) @ y[b.rows].astype(np.float32).T >= cosine - 1e-4
+                rough = x_shadow[rows] @ y_shadow[b.rows].T >= cosine - 1e-4
                 i, j = np.nonzero(rough)
                 if len(i):
                     near = np.zeros(rough.shape, bool)
-                    near[i, j] = np.einsum("ij,ij->i", x[rows[i]], y[b.rows[j]]) >= cosine
+                    for k in vectors.steps(len(i), x.shape[1]):
+                        some = slice(k, k + vectors.steps(len(i), x.shape[1]).step)
+                        near[i[some], j[some]] = np.einsum("ij,ij->i", x[rows[i[some]]], y[b.rows[j[some]]]) >= cosine
                     yield rows, b.rows, near
         elif tree is other and a is b:
             todo += [(c, d) for c in a.children for d in a.children]
@@ -106,9 +124,9 @@ def traverse(x: np.ndarray, tree: Node, y: np.ndarray, other: Node, cosine: floa
 class Cell:
     """The members of one cell; counts their links, weighted by the copies of the other, and passes links on."""
 
-    def __init__(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray, cosine: float):
-        self.ids, self.weights, self.x, self.cosine = ids, weights, x, cosine
-        self.tree = build(x)
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray, cosine: float, directions: np.ndarray):
+        self.ids, self.weights, self.x, self.cosine, self.directions = ids, weights, x, cosine, directions
+        self.tree, self.shadow = build(x), shadow(x, directions)
 
     def _found(self, ids: np.ndarray, weights: np.ndarray, pairs, offset: int, both: bool) -> pa.RecordBatch:
         count = np.zeros(len(ids), np.int64)
@@ -132,10 +150,10 @@ class Cell:
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(count[keep]), pa.array(ids[labels.of[keep]])], ["id", "n", "root"])
 
     def within(self) -> pa.RecordBatch:
-        return self._found(self.ids, self.weights, traverse(self.x, self.tree, self.x, self.tree, self.cosine), 0, False)
+        return self._found(self.ids, self.weights, traverse(self.x, self.tree, self.x, self.tree, self.cosine, self.shadow, self.shadow), 0, False)
 
     def visited(self, ids: np.ndarray, weights: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        pairs = traverse(self.x, self.tree, y, build(y), self.cosine)
+        pairs = traverse(self.x, self.tree, y, build(y), self.cosine, self.shadow, shadow(y, self.directions))
         return self._found(np.r_[self.ids, ids], np.r_[self.weights, weights], pairs, len(self.ids), True)
 
 
@@ -145,7 +163,7 @@ def _unit(column: pa.Array, wide: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _join(batches: Iterator[pa.RecordBatch], wide: int, cosine: float) -> Iterator[pa.RecordBatch]:
+def _join(batches: Iterator[pa.RecordBatch], wide: int, cosine: float, directions: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (cell, chunk, visitor, id, weight, embedding), sorted so that a cell's members come before its visitors."""
     cell: Cell | None = None
     now, held = None, []
@@ -153,7 +171,7 @@ def _join(batches: Iterator[pa.RecordBatch], wide: int, cosine: float) -> Iterat
     def settle() -> Iterator[pa.RecordBatch]:
         nonlocal cell, held
         if cell is None and held:
-            cell = Cell(*(np.concatenate(x) for x in zip(*held)), cosine)
+            cell = Cell(*(np.concatenate(x) for x in zip(*held)), cosine, directions)
             held = []
             yield cell.within()
 
@@ -167,7 +185,7 @@ def _join(batches: Iterator[pa.RecordBatch], wide: int, cosine: float) -> Iterat
                 now, cell, held = key, None, []
             for at in range(a, b, BATCH_ROWS):
                 part = batch.slice(at, min(BATCH_ROWS, b - at))
-                rows = part.column(3).to_numpy(), part.column(4).to_numpy(), _unit(part.column(5), wide)
+                rows = part.column(3).to_numpy(), part.column(4).to_numpy(), vectors.unpacked(part.column(5), wide)
                 if not guest[a]:
                     held.append(rows)
                 else:
@@ -177,10 +195,10 @@ def _join(batches: Iterator[pa.RecordBatch], wide: int, cosine: float) -> Iterat
     yield from settle()
 
 
-def links(rows: DataFrame, wide: int, cosine: float = COSINE, cell_rows: int = CELL_ROWS) -> DataFrame:
+def links(rows: DataFrame, wide: int, cosine: float = COSINE, cell_rows: int | None = None) -> DataFrame:
     """For distinct vectors (id, weight, embedding; a kept table): rows (id, n, root), n the weight of what it is
     linked to as far as one task saw, root a vector in the same component."""
-    spark = rows.sparkSession
+    cell_rows = cell_rows or max(CELL_ROWS, CELL_BYTES // (8 * max(wide, 1)))
     total = rows.count()
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("embedding").toArrow()["embedding"].combine_chunks()
     sample = _unit(sample, wide) if total else np.zeros((0, wide))
@@ -190,15 +208,18 @@ def links(rows: DataFrame, wide: int, cosine: float = COSINE, cell_rows: int = C
             break  # all others have the direction of a pivot
         chosen.append(0 if not chosen else int(gap.argmax()))
         gap = np.minimum(gap, distances(sample, sample[chosen[-1]]))
-    pivots = sample[chosen]
+    pivots, directions = sample[chosen], basis(sample) if total else np.zeros((wide, 0))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = np.sqrt(np.maximum(2 - 2 * _unit(batch.column(2), wide) @ pivots.T, 0))
-            cell = far.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["id", "weight", "embedding", "cell", "far"])
-
-    at_home = common.keep(rows.select("id", "weight", "embedding").mapInArrow(home, "id bigint, weight bigint, embedding array<double>, cell int, far double"), "cells")
+        for whole in batches:
+            for at in (every := vectors.steps(whole.num_rows, wide)):
+                batch = whole.slice(at, every.step)
+                x = _unit(batch.column(2), wide)
+                far = np.sqrt(np.maximum(2 - 2 * x @ pivots.T, 0))
+                cell = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vectors.packed(x), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["id", "weight", "vector", "cell", "far"])
+
+    at_home = common.keep(rows.select("id", "weight", "embedding").mapInArrow(home, "id bigint, weight bigint, vector binary, cell int, far double"), "cells")
     found = {r.cell: r for r in at_home.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}  # at most PIVOTS rows
     radius = np.array([found[c].radius if c in found else -np.inf for c in range(len(pivots))])
     chunks = np.array([max(1, -(-found[c].n // (2 * cell_rows))) if c in found else 1 for c in range(len(pivots))], np.int64)
@@ -210,7 +231,7 @@ def links(rows: DataFrame, wide: int, cosine: float = COSINE, cell_rows: int = C
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 ids, cell = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-                far = np.sqrt(np.maximum(2 - 2 * _unit(batch.column(2), wide) @ pivots.T, 0))
+                far = np.sqrt(np.maximum(2 - 2 * vectors.unpacked(batch.column(2), wide) @ pivots.T, 0))
                 mine = far[np.arange(len(cell)), cell]
                 plane = (far**2 - (mine**2)[:, None]) / (2 * between[cell])
                 go = (far <= radius + reach) & (plane <= reach) & (np.arange(len(pivots)) > cell[:, None])
@@ -224,15 +245,17 @@ def links(rows: DataFrame, wide: int, cosine: float = COSINE, cell_rows: int = C
                 before = np.arange(len(j)) - np.repeat(np.cumsum(own) - own, own)
                 take = np.r_[np.arange(len(cell)), i, j]
                 to = np.r_[cell, c, cell[j]], np.r_[own, k, before], np.r_[np.zeros(len(cell), np.int8), np.ones(len(i) + len(j), np.int8)]
-                chosen_rows = batch.take(pa.array(take))
-                yield pa.RecordBatch.from_arrays([pa.array(to[0].astype(np.int32)), pa.array(to[1].astype(np.int32)), pa.array(to[2]), chosen_rows.column(0), chosen_rows.column(1), chosen_rows.column(2)], ["cell", "chunk", "visitor", "id", "weight", "embedding"])
+                for k in (every := vectors.steps(len(take), wide)):
+                    some = slice(k, k + every.step)
+                    rows_to = batch.take(pa.array(take[some]))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[0][some].astype(np.int32)), pa.array(to[1][some].astype(np.int32)), pa.array(to[2][some]), *rows_to.columns[:3]], ["cell", "chunk", "visitor", "id", "weight", "vector"])
 
-    dealt = at_home.mapInArrow(visit, "cell int, chunk int, visitor tinyint, id bigint, weight bigint, embedding array<double>")
+    dealt = at_home.mapInArrow(visit, "cell int, chunk int, visitor tinyint, id bigint, weight bigint, vector binary")
     dealt = dealt.repartition(int(min(4096, max(8, chunks.sum()))), "cell", "chunk").sortWithinPartitions("cell", "chunk", "visitor")
-    return dealt.mapInArrow(lambda batches: _join(batches, wide, cosine), "id bigint, n bigint, root bigint")
+    return dealt.mapInArrow(lambda batches: _join(batches, wide, cosine, directions), "id bigint, n bigint, root bigint")
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, cell_rows: int | None = None) -> DataFrame:
     """A row for each row of ``rows`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Equal vectors are compared once and count as often as they occur. Vectors that are null, zero, hold null or

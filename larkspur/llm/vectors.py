@@ -23,3 +23,23 @@ def width(rows: DataFrame) -> int:
 def matrix(column: pa.Array, wide: int) -> np.ndarray:
     """A list column of equal lengths as rows of doubles."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wide)
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values, which Spark moves as a whole instead of by component."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x, "<f8").tobytes())])
+
+
+def unpacked(column: pa.Array, wide: int) -> np.ndarray:
+    """The rows of ``packed``, also of a slice of it."""
+    _, offsets, values = column.buffers()
+    if not len(column):
+        return np.zeros((0, wide))
+    first = int(np.frombuffer(offsets, np.int32)[column.offset])
+    return np.frombuffer(values, "<f8", len(column) * wide, first).reshape(-1, wide)
+
+
+def steps(count: int, wide: int, most: int = 1 << 26) -> range:
+    """Starts of batches of at most so many bytes of vectors, and their length as the step."""
+    return range(0, count, max(1, most // (8 * max(wide, 1))))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, covertree
+from larkspur.llm import ann, covertree, vectors
 from larkspur.llm.labels import Labels
 
 SCHEMA = "vec_id bigint, embedding array<float>"
@@ -114,3 +114,46 @@ def test_cover_tree_of_one_direction_ends():
         x = rng.normal(size=48) * rng.uniform(0.1, 9, (200, 1))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         assert len(covertree.build(x).rows) == 200
+
+
+def test_packed_vectors_come_back():
+    x = np.random.default_rng(3).normal(size=(10, 7))
+    column = vectors.packed(x)
+    assert (vectors.unpacked(column, 7) == x).all() and (vectors.unpacked(column.slice(4, 3), 7) == x[4:7]).all()
+    assert column[2].as_py() == x[2].tobytes() and vectors.unpacked(column.slice(10), 7).shape == (0, 7)
+
+
+def unstructured(n, seed=11):
+    """Unit vectors without structure and pairs of rows planted at cosines just above and below 0.9."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    planted = []
+    for i in range(0, n - 1, 40):
+        other = rng.normal(size=64)
+        other -= (other @ x[i]) * x[i]
+        cosine = 0.9 + (1e-9 if i % 80 else -1e-9)
+        x[i + 1] = cosine * x[i] + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other)
+        if i % 80:
+            planted.append((i, i + 1))
+    return x, planted
+
+
+@pytest.mark.parametrize("cell_rows", [300, None])
+def test_planted_links_in_vectors_without_structure(spark, cell_rows):
+    x, planted = unstructured(2000)
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(rows, 0.9, cell_rows).collect()}
+    other = {b: a for a, b in planted}
+    linked = set(other) | set(other.values())
+    assert len(planted) == 25
+    assert found == {i: (int(i in linked), other.get(i, i)) for i in range(2000)}
+
+
+def test_few_pairs_are_compared_on_whole_vectors():
+    x, _ = unstructured(2000)
+    short = covertree.shadow(x, covertree.basis(x))
+    assert np.allclose((short * short).sum(1), 1, atol=1e-5)
+    products = short @ short.T
+    assert (products >= x @ x.T - 1e-5).all()  # never farther apart than the vectors themselves
+    assert (products >= 0.9 - 1e-4).mean() < 0.01
