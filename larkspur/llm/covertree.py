@@ -91,8 +91,8 @@ def shadow(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
 
 
 def traverse(x: np.ndarray, tree: Node, y: np.ndarray, other: Node, cosine: float, x_shadow: np.ndarray, y_shadow: np.ndarray):
-    """Yields (a, b, near): rows of x and y and which of their pairs are linked (None: all). With tree is other, a
-    pair of rows of one node comes both ways round."""
+    """Yields (a, b, single): rows of x and of y that are linked, one to one or, unless single, all with all. With
+    tree is other, a pair of rows comes both ways round."""
     reach = float(np.sqrt(2 - 2 * cosine))
     todo = [(tree, other)]
     while todo:
@@ -101,18 +101,16 @@ def traverse(x: np.ndarray, tree: Node, y: np.ndarray, other: Node, cosine: floa
         if apart - a.radius - b.radius > reach + SLACK:
             continue
         if apart + a.radius + b.radius < reach - SLACK:
-            yield a.rows, b.rows, None
+            yield a.rows, b.rows, False
         elif not a.children and not b.children:
             for at in range(0, len(a.rows), 1024):
                 rows = a.rows[at : at + 1024]
                 rough = x_shadow[rows] @ y_shadow[b.rows].T >= cosine - 1e-4
                 i, j = np.nonzero(rough)
-                if len(i):
-                    near = np.zeros(rough.shape, bool)
-                    for k in vectors.steps(len(i), x.shape[1]):
-                        some = slice(k, k + vectors.steps(len(i), x.shape[1]).step)
-                        near[i[some], j[some]] = np.einsum("ij,ij->i", x[rows[i[some]]], y[b.rows[j[some]]]) >= cosine
-                    yield rows, b.rows, near
+                for k in (every := vectors.steps(len(i), x.shape[1])):
+                    one, two = rows[i[k : k + every.step]], b.rows[j[k : k + every.step]]
+                    near = np.einsum("ij,ij->i", x[one], y[two]) >= cosine
+                    yield one[near], two[near], True
         elif tree is other and a is b:
             todo += [(c, d) for c in a.children for d in a.children]
         elif a.children and (not b.children or a.radius >= b.radius):
@@ -131,19 +129,18 @@ class Cell:
     def _found(self, ids: np.ndarray, weights: np.ndarray, pairs, offset: int, both: bool) -> pa.RecordBatch:
         count = np.zeros(len(ids), np.int64)
         labels = Labels(len(ids))
-        for a, b, near in pairs:
+        for a, b, single in pairs:
             b = b + offset
-            if near is None:
+            if not single:
                 count[a] += weights[b].sum()
                 if both:
                     count[b] += weights[a].sum()
                 labels.link(np.r_[np.full(len(b), a[0]), np.full(len(a), b[0])], np.r_[b, a])
             else:
-                count[a] += near @ weights[b]
+                np.add.at(count, a, weights[b])
                 if both:
-                    count[b] += weights[a] @ near
-                i, j = np.nonzero(near)
-                labels.link(a[i], b[j])
+                    np.add.at(count, b, weights[a])
+                labels.link(a, b)
         if not both:
             count -= weights  # each was counted with itself
         keep = (count > 0) | (labels.of != np.arange(len(ids)))
