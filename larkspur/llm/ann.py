@@ -2,6 +2,7 @@
 
 Each of several tables hashes a vector by floors of shifted Gaussian projections. A query visits, in each table, its
 own bucket and those next to it in the order of their estimated success (squared distances to the boundaries crossed).
+Projections are made orthogonal to each other as far as there are dimensions, so that no two tables tell the same.
 Candidates of all tables are merged and ranked by exact distance on the original vectors.
 """
 
@@ -19,7 +20,7 @@ from larkspur.llm import common, vectors
 
 K = 10
 QUERY_STEP = 100
-TABLES, PROJECTIONS, PROBES = 10, 10, 160
+TABLES, PROJECTIONS, PROBES = 6, 10, 160
 #: Bucket width in units of the median distance of a sample; wide enough for a recall of 0.9 where vectors have no structure.
 WIDTH = 1.75
 SAMPLE_ROWS = 1000
@@ -32,7 +33,10 @@ class Hash:
     def __init__(self, wide: int, scale: float, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH):
         rng = np.random.default_rng(11)
         self.width = max(width * scale, 1e-300)
-        self.axes = rng.normal(size=(tables, wide, projections))
+        axes = rng.normal(size=(tables * projections, wide))
+        for at in range(0, len(axes), wide):  # as many at a time as can be orthogonal, of the length that they have on average
+            axes[at : at + wide] = np.linalg.qr(axes[at : at + wide].T)[0].T * np.sqrt(wide)
+        self.axes = axes.reshape(tables, projections, wide).transpose(0, 2, 1)
         self.shift = rng.uniform(0, 1, (tables, projections))
         self.odd = rng.integers(1, 1 << 62, (tables, projections)) * 2 + 1
 
@@ -85,7 +89,7 @@ def nearest(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, k: int)
 
 
 def _match(batches: Iterator[pa.RecordBatch], wide: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, is_row, id, embedding, buckets) sorted so that a part's queries come before its rows. A query
+    """Rows (part, is_row, id, vector, buckets) sorted so that a part's queries come before its rows. A query
     without buckets looks at all rows of the part. Yields a query's best among the rows of a batch."""
     names = ["query_id", "vec_id", "score"]
     now, queries = None, []
@@ -96,7 +100,7 @@ def _match(batches: Iterator[pa.RecordBatch], wide: int, k: int) -> Iterator[pa.
             if part[a] != now:
                 now, queries = part[a], []
             piece = batch.slice(a, b - a)
-            ids, x = piece.column(2).to_numpy(), vectors.matrix(piece.column(3), wide)
+            ids, x = piece.column(2).to_numpy(), vectors.unpacked(piece.column(3), wide)
             buckets = piece.column(4).to_pylist()
             if not is_row[a]:
                 queries += [(i, v, None if w is None else np.array(w)) for i, v, w in zip(ids, x, buckets)]
@@ -119,9 +123,6 @@ def _match(batches: Iterator[pa.RecordBatch], wide: int, k: int) -> Iterator[pa.
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)), pa.array(np.concatenate([f[2] for f in found]).astype(np.float64))], names)
 
 
-DEALT = "part bigint, is_row tinyint, id bigint, embedding array<double>, buckets array<bigint>"
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     """Each query's k best of what the tasks found: a few rows for each task that it visited."""
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -161,41 +162,50 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                x = vectors.matrix(batch.column(1), wide)
+            for at in (every := vectors.steps(whole.num_rows, wide)):
+                batch = whole.slice(at, every.step)
+                x = vectors.unpacked(batch.column(1), wide)
                 for t in range(tables):
                     bucket = hashed.bucket(np.floor(hashed.places(x, t)), t)
-                    yield pa.RecordBatch.from_arrays([pa.array(t * parts + bucket % parts), *batch.columns, pa.array(bucket)], ["slot", "id", "embedding", "bucket"])
+                    yield pa.RecordBatch.from_arrays([pa.array(t * parts + bucket % parts), *batch.columns, pa.array(bucket)], ["slot", "id", "vector", "bucket"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, list[int]]] = []
-            x = vectors.matrix(batch.column(1), wide)
+            x = vectors.unpacked(batch.column(1), wide)
             for t in range(tables):
                 for i, place in enumerate(hashed.places(x, t)):
                     wanted = hashed.probes(place, t, probes)
                     to = wanted % parts
                     out += [(t * parts + int(p), i, wanted[to == p].tolist()) for p in np.unique(to)]
-            at = pa.array([r[1] for r in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *batch.take(at).columns, pa.array([r[2] for r in out], pa.list_(pa.int64()))], ["slot", "id", "embedding", "buckets"])
+            for k in (every := vectors.steps(len(out), wide)):
+                some = out[k : k + every.step]
+                at = pa.array([r[1] for r in some], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), *batch.take(at).columns, pa.array([r[2] for r in some], pa.list_(pa.int64()))], ["slot", "id", "vector", "buckets"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in (every := vectors.steps(whole.num_rows, wide)):
+                batch = whole.slice(at, every.step)
+                yield pa.RecordBatch.from_arrays([batch.column(0), vectors.packed(vectors.matrix(batch.column(1), wide))], ["id", "vector"])
 
-    tabled = rows.mapInArrow(index, "slot bigint, id bigint, embedding array<double>, bucket bigint")
+    rows, queries = (df.mapInArrow(pack, "id bigint, vector binary") for df in (rows, queries))
+    tabled = rows.mapInArrow(index, "slot bigint, id bigint, vector binary, bucket bigint")
     # a slot with a hot bucket is dealt out further; its queries go to each of its shares
-    shares = common.keep(rows.mapInArrow(index, "slot bigint, id bigint, embedding array<double>, bucket bigint").groupBy("slot").agg(F.ceil(F.count("*") / (2 * TASK_ROWS)).cast("bigint").alias("shares")), "shares")
+    shares = common.keep(tabled.groupBy("slot").agg(F.ceil(F.count("*") / (2 * TASK_ROWS)).cast("bigint").alias("shares")), "shares")
     key = F.col("slot") * (1 << 20)
-    tabled = tabled.join(shares, "slot").select((key + F.pmod(F.xxhash64("id"), F.col("shares"))).alias("part"), F.lit(1).cast("tinyint").alias("is_row"), "id", "embedding", F.array("bucket").alias("buckets"))
-    asked = queries.mapInArrow(probe, "slot bigint, id bigint, embedding array<double>, buckets array<bigint>").join(shares, "slot")
-    asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).select((key + F.col("share")).alias("part"), F.lit(0).cast("tinyint").alias("is_row"), "id", "embedding", "buckets")
+    tabled = tabled.join(shares, "slot").select((key + F.pmod(F.xxhash64("id"), F.col("shares"))).alias("part"), F.lit(1).cast("tinyint").alias("is_row"), "id", "vector", F.array("bucket").alias("buckets"))
+    asked = queries.mapInArrow(probe, "slot bigint, id bigint, vector binary, buckets array<bigint>").join(shares, "slot")
+    asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).select((key + F.col("share")).alias("part"), F.lit(0).cast("tinyint").alias("is_row"), "id", "vector", "buckets")
     found = common.keep(_best(_search(asked.union(tabled), wide, k), k), "neighbours")
 
     full = found.groupBy("query_id").count().where(F.col("count") >= k)
     short = queries.join(full, queries.id == full.query_id, "left_anti")
     if short.limit(1).count():
         n = max(1, -(-total // TASK_ROWS))
-        everywhere = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("part").cast("bigint").alias("part"), F.lit(0).cast("tinyint"), "id", "embedding", F.lit(None).cast("array<bigint>"))
-        blocks = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("part"), F.lit(1).cast("tinyint"), "id", "embedding", F.array(F.lit(0).cast("bigint")))
-        found = found.join(full, "query_id", "left_semi").union(_best(_search(everywhere.union(blocks).toDF("part", "is_row", "id", "embedding", "buckets"), wide, k), k))
+        everywhere = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("part").cast("bigint").alias("part"), F.lit(0).cast("tinyint"), "id", "vector", F.lit(None).cast("array<bigint>"))
+        blocks = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("part"), F.lit(1).cast("tinyint"), "id", "vector", F.array(F.lit(0).cast("bigint")))
+        found = found.join(full, "query_id", "left_semi").union(_best(_search(everywhere.union(blocks).toDF("part", "is_row", "id", "vector", "buckets"), wide, k), k))
     return found
 
 
